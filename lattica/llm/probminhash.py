@@ -15,14 +15,14 @@ from lattica.llm.common import materialize, sized, table, text_batches
 
 #: Words of a shingle and the least probability Jaccard of a link.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Signature components and rows of a band: of pairs at the threshold, (1 - 0.8^4)^24 = 3e-6 share no band.
-COMPONENTS, ROWS = 96, 4
-BANDS = COMPONENTS // ROWS
-#: Pairs whose signatures agree less are no candidates (0.8 is five standard errors off); from SURE on, two documents of a
-#: bucket count as linked when further candidates are chosen, and the link itself is verified like any other.
-MAYBE, SURE = 0.6, 0.9
+#: Signature components, bands and their rows: of pairs at the threshold, (1 - 0.8^4)^24 = 3e-6 share no band.
+COMPONENTS, BANDS, ROWS = 192, 24, 4
+#: Pairs whose signatures agree less are no candidates; the threshold is nearly four standard errors above.
+MAYBE = 0.69
 #: Members of a bucket that one task compares at a time; larger buckets are dealt over several tasks.
 CHUNK = 2048
+#: Rounds in which each member of a bucket proposes its best partner; then all pairs left are verified where they meet.
+BEST_ROUNDS = 2
 CACHE = 400_000
 
 
@@ -109,7 +109,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bytes_ = (_mix(sig) >> np.uint64(56)).astype(np.uint8)
         band = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
-            band = _mix(band + sig[:, r::ROWS] * np.uint64(0x9E3779B97F4A7C15))
+            band = _mix(band + sig[:, r : BANDS * ROWS : ROWS] * np.uint64(0x9E3779B97F4A7C15))
         yield pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"],
@@ -120,92 +120,122 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def agreement(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity from one-byte components, corrected for chance."""
-    return np.maximum(0.0, ((others == sig).mean(-1) - 1 / 256) * 256 / 255)
+def agreement(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each with each from one-byte components, corrected for chance."""
+    equal = np.count_nonzero(sigs[:, None, :] == others[None, :, :], axis=2) / sigs.shape[1]
+    return (equal - 1 / 256) * 256 / 255
 
 
-def bucket_links(ids: list[int], sigs: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Candidate links within one chunk of a bucket, and one member of each group that they surely join.
+def chunk_best(ids: np.ndarray, classes: np.ndarray, sigs: np.ndarray) -> pd.DataFrame:
+    """Each member with the one of another class that it agrees with most, if they may be similar."""
+    out: set[tuple[int, int]] = set()
+    for k in range(0, len(ids), 64):
+        near = agreement(sigs[k : k + 64], sigs)
+        near[classes[k : k + 64, None] == classes[None, :]] = 0
+        j = near.argmax(1)
+        i = np.nonzero(near[np.arange(len(j)), j] >= MAYBE)[0]
+        a, b = ids[i + k], ids[j[i]]
+        out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    return pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    Each member is compared with all groups' members kept so far, and is linked to the best of each group that it may
-    belong to. Members that SURE ties to a kept one aren't kept, so a group of copies costs one comparison each.
+
+def chunk_links(bucket: int, ids: np.ndarray, classes: np.ndarray, sigs: np.ndarray, bands: np.ndarray, sets: list) -> pd.DataFrame:
+    """Exactly verified links that join the classes of a chunk: a forest, so at most one for each member.
+
+    Every pair that may be similar is verified, unless its classes are joined already or an earlier band has the pair.
     """
-    links, kept, group = [], [], []
-    store = np.zeros((len(ids), sigs.shape[1]), np.uint8)
-    for i, sig in enumerate(sigs):
-        near = agreement(sig, store[: len(kept)])
-        groups = np.array(group, np.int64)
-        best: dict[int, int] = {}
-        for k in np.nonzero(near >= MAYBE)[0]:
-            g = int(groups[k])
-            if g not in best or near[k] > near[best[g]]:
-                best[g] = int(k)
-        sure = [g for g, k in best.items() if near[k] >= SURE - 0.05]
-        links += [(ids[kept[k]], ids[i]) for k in best.values()]
-        mine = min(sure, default=i)
-        group = [mine if g in sure else g for g in group]
-        if not any(near[k] >= SURE + 0.05 for k in best.values()):
-            store[len(kept)] = sig
-            kept.append(i)
-            group.append(mine)
-    heads: dict[int, int] = {}
-    for k, g in zip(kept, group, strict=True):
-        heads.setdefault(g, ids[k])
-    return links, list(heads.values())
-
-
-def _in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (bucket, chunk, id): links and heads of each chunk, which alone is held in memory."""
-
-    def done(key: tuple, ids: list[int], sigs: list[bytes], of: int) -> pd.DataFrame | None:
-        if len(ids) < 2 and of == 1:
+    parent = {c: c for c in classes.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for k in range(0, len(ids), 64):
+        near = agreement(sigs[k : k + 64], sigs)
+        near[classes[k : k + 64, None] == classes[None, :]] = 0
+        i, j = np.nonzero(near >= MAYBE)
+        near, i = near[i, j], i + k
+        keep = i < j
+        near, i, j = near[keep], i[keep], j[keep]
+        first = (bands[i] == bands[j]).argmax(1)
+        mine = np.nonzero(bands[i, first] == bucket)[0]
+        for at in mine[np.argsort(-near[mine], kind="stable")].tolist():
+            x, y = int(i[at]), int(j[at])
+            p, q = root(int(classes[x])), root(int(classes[y]))
+            if p != q and (similar := probability_jaccard(sets[x], sets[y])) >= SIMILARITY:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y])), similar))
+    return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def _in_chunks(verified: bool):
+    """Rows sorted by (bucket, chunk), of which one chunk alone is held in memory."""
+
+    def done(key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
+        if len(rows) < 2 or min(r[1] for r in rows) == max(r[1] for r in rows):
             return None
-        links, heads = bucket_links(ids, np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1))
-        rows = [(key[0], a, b) for a, b in links] + [(key[0], h, None) for h in heads if of > 1]
-        return pd.DataFrame(rows, columns=["bucket", "a", "b"]).astype({"bucket": "int64", "a": "int64", "b": "Int64"})
-
-    key, ids, sigs, of = None, [], [], 1
+        ids, classes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        if not verified:
+            return chunk_best(ids, classes, sigs)
+        sets = []
+        for r in rows:
+            e = np.frombuffer(r[4], np.uint64)
+            sets.append((e, np.frombuffer(r[5], np.float64) if r[5] else np.ones(len(e))))
+        return chunk_links(key[0], ids, classes, sigs, np.stack([r[3] for r in rows]), sets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["rep", "class", "sig", *["bands", "elements", "weights"] * verified]
+        key, rows = None, []
+        for pdf in batches:
+            for bucket, chunk, *row in zip(pdf["bucket"], pdf["chunk"], *[pdf[n] for n in names], strict=True):
+                if (bucket, chunk) != key:
+                    if (out := done(key, rows)) is not None and len(out):
+                        yield out
+                    key, rows = (bucket, chunk), []
+                rows.append(tuple(row))
+        if (out := done(key, rows)) is not None and len(out):
+            yield out
+
+    return run
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingles of each text; weights only where one isn't 1."""
+    words = _Words()
     for pdf in batches:
-        for bucket, chunk, chunks, rep, sig in zip(pdf["bucket"], pdf["chunk"], pdf["chunks"], pdf["rep"], pdf["sig"], strict=True):
-            if (bucket, chunk) != key:
-                if key is not None and (out := done(key, ids, sigs, of)) is not None:
-                    yield out
-                key, ids, sigs, of = (bucket, chunk), [], [], chunks
-            ids.append(rep)
-            sigs.append(sig)
-    if key is not None and (out := done(key, ids, sigs, of)) is not None:
-        yield out
-
-
-def candidate_links(reps: DataFrame) -> DataFrame:
-    """(a, b) pairs of distinct texts (rep, sig, bands) that share a band and whose signatures may agree, each once.
-
-    Buckets of more than CHUNK members are dealt over tasks by a hash; the heads of the chunks meet in a further round,
-    until each bucket has one chunk. Nothing is capped.
-    """
+        found = [shingles(t, words) for t in pdf["text"]]
+        yield pd.DataFrame({"rep": pdf["doc_id"], "elements": [e.tobytes() for e, _, _ in found], "weights": [c.tobytes() if (c != 1).any() else None for _, c, _ in found]})
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """(rep, bucket) of all bands that a text shares with another one."""
     rows = reps.select("rep", F.explode("bands").alias("bucket")).repartition("bucket")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = materialize(rows.join(sizes, "bucket"), "near-buckets")
-    sigs, links, large = reps.select("rep", "sig"), None, None
-    while True:
-        dealt = members.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        if stuck := large is not None and large == (large := members.filter(F.col("members") > CHUNK).count()):
-            # The heads of these buckets differ from each other: compare each chunk with each other one, in blocks.
-            other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-            dealt = dealt.withColumn("other", other).withColumn("chunk", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).withColumn("chunks", F.lit(1))
-        elif large is None:
-            large = members.filter(F.col("members") > CHUNK).count()
-        dealt = dealt.join(sigs, "rep").select("bucket", "chunk", "chunks", "rep", "sig").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "rep")
-        out = materialize(dealt.mapInPandas(_in_chunks, "bucket bigint, a bigint, b bigint"), "near-links")
-        more = out.filter("b is not null").select("a", "b")
-        links = more if links is None else links.unionByName(more)
-        if stuck or not large:
-            break
-        heads = out.filter("b is null").select("bucket", F.col("a").alias("rep"))
-        left = heads.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-        members = materialize(heads.join(left, "bucket").select("rep", "bucket", "members"), "near-heads")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    return rows.join(shared, "bucket").select("rep", "bucket")
+
+
+def mixed_chunks(members: DataFrame, classes: DataFrame | None, turn: int, blocks: bool) -> DataFrame:
+    """(bucket, chunk, rep, class) of the buckets that have members of several classes.
+
+    Those of more than CHUNK members are dealt over tasks by a hash, another one each turn; with blocks, each chunk
+    meets each other one.
+    """
+    rows = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left") if classes is not None else members.withColumn("label", F.lit(None).cast("bigint"))
+    rows = rows.select("rep", "bucket", F.coalesce("label", "rep").alias("class"))
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = mixed.filter("low < high").select("bucket", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+    dealt = rows.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("chunks")).cast("int"))
+    if blocks:
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        dealt = dealt.withColumn("other", other).withColumn("chunk", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other"))
+    return dealt.select("bucket", "chunk", "rep", "class")
+
+
+def _by_chunk(df: DataFrame) -> DataFrame:
+    return df.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,8 +280,38 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
 
 
+def link(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) that join the texts reps (rep, sig, bands) into classes, and (node, label).
+
+    A link within a class that others have joined already is not looked for, so that groups of thousands of copies
+    take a few links each; every candidate pair between different classes is verified.
+    """
+    members, sigs = materialize(buckets(reps), "near-buckets"), reps.select("rep", "sig")
+
+    def joined(links: DataFrame, label: DataFrame | None) -> DataFrame:
+        edges = links.select("a", "b")
+        edges = edges if label is None else edges.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return materialize(components(edges), "near-labels")
+
+    tried = links = label = None
+    for turn in range(BEST_ROUNDS):
+        found = _by_chunk(mixed_chunks(members, label, turn, False).join(sigs, "rep").select("bucket", "chunk", "rep", "class", "sig"))
+        found = found.mapInPandas(_in_chunks(False), "a bigint, b bigint").distinct()
+        found = materialize(found.join(tried, ["a", "b"], "left_anti") if tried is not None else found, "near-candidates")
+        tried = found if tried is None else tried.unionByName(found)
+        new = materialize(verify(found, docs), "near-verified")
+        links = new if links is None else links.unionByName(new)
+        label = joined(new, label)
+    left = materialize(mixed_chunks(members, label, BEST_ROUNDS, True), "near-mixed")
+    ids = sized(materialize(left.select(F.col("rep").alias("doc_id")).distinct(), "near-mixed-ids"))
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(_sets, "rep bigint, elements binary, weights binary")
+    met = left.join(reps, "rep").join(sets, "rep").select("bucket", "chunk", "rep", "class", "sig", "bands", "elements", "weights")
+    new = materialize(_by_chunk(met).mapInPandas(_in_chunks(True), "a bigint, b bigint, similarity double"), "near-verified")
+    return links.unionByName(new).dropDuplicates(["a", "b"]), joined(new, label)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_links (verified links of its text).
+    """One row per row of docs: doc_id, class_id (least doc_id of its class), n_links (verified links that joined its text).
 
     Words are runs of letters, digits and underscores, lower-cased. Documents with equal words are one text; texts are
     linked at SIMILARITY, and classes are connected components. Texts without words (null, empty) are classes of their
@@ -263,9 +323,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.mapInPandas(_sketch, "doc_id bigint, digest string, sig binary, bands array<bigint>"), "near-sketches")
     same = rows.filter("sig is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = materialize(same, "near-texts")
-    linked = reps.filter("rep is not null").select("rep", "sig", "bands")
-    links = materialize(verify(materialize(candidate_links(linked), "near-candidates"), docs), "near-verified")
-    label = components(links)
+    links, label = link(reps.filter("rep is not null").select("rep", "sig", "bands"), docs)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = materialize(classes.select("digest", F.coalesce("label", "rep").alias("class_id"), "n_links"), "near-classes")
