@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 EXTRACT_TOKENS, OVERLAP_RATIO = 4000, 0.20
@@ -143,4 +144,7 @@ def chunks(docs: DataFrame, how: Callable[..., list[str]] = chunk_text, **option
                 rows += [(doc, k, len(pieces), p) for k, p in enumerate(pieces)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total_chunks", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_index int, total_chunks int, text string")
+    # Ids pass through Python as text, which holds nulls and all numbers.
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, chunk_index int, total_chunks int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
