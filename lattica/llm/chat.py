@@ -25,6 +25,9 @@ TEMPLATE = {
     "final": ["asked", "answered"],
 }
 
+#: The state that no role leads out of.
+REJECTED = ""
+
 
 def escape(text: Column, template: dict = TEMPLATE) -> Column:
     for raw, code in template["escapes"].items():
@@ -57,11 +60,12 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     moves = F.create_map(*[F.lit(x) for state, by_role in template["order"].items() for role, to in by_role.items() for x in (f"{state}\x00{role}", to)])
     start = F.struct(F.lit(template["start"]).alias("state"), F.lit(0).alias("at"))
-    walked = F.aggregate(
-        "turns",
-        start,
-        lambda a, t: F.struct(F.try_element_at(moves, F.concat(a["state"], F.lit("\x00"), t["role"])).alias("state"), (a["at"] + F.when(F.try_element_at(moves, F.concat(a["state"], F.lit("\x00"), t["role"])).isNotNull(), 1).otherwise(0)).alias("at")),
-    )
+
+    def step(a: Column, t: Column) -> Column:
+        to = F.coalesce(F.try_element_at(moves, F.concat(a["state"], F.lit("\x00"), t["role"])), F.lit(REJECTED))
+        return F.struct(to.alias("state"), (a["at"] + (to != REJECTED).cast("int")).alias("at"))
+
+    walked = F.aggregate("turns", start, step)
     loss = lambda role: role.isin(template["loss_roles"])
     pieces = F.flatten(
         F.transform(
@@ -81,7 +85,7 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         lambda a, p: F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(p["text"])).alias("end"), p["loss"].alias("loss")))).alias("out"), (a["at"] + F.length(p["text"])).alias("at")),
         lambda a: a["out"],
     )
-    accepted = F.coalesce(F.col("walk.state").isin(template["final"]), F.lit(False))
+    accepted = F.col("walk.state").isin(template["final"])
     return chats.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),

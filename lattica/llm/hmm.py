@@ -190,16 +190,17 @@ def score(docs: DataFrame) -> DataFrame:
     known = {"index": {int(h): i for i, h in enumerate(head["token"])}, "c": head["c"].to_numpy(np.int64), "own": own, "class_total": by_class.sum(1) + 1, "n_docs": n_docs}
     sent = spark.sparkContext.broadcast(known)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("symbols array<int>, n_tokens bigint, n_known bigint, base double, inner double, rare array<bigint>, times array<bigint>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         """Symbols, sums over common tokens, and the rare tokens of each row."""
         k = sent.value
         index, c, own = k["index"], k["c"], k["own"]
         log_c = np.log10(c + 1.0)
         log_class = np.log10(k["class_total"])
         cache: dict[bytes, tuple[int, int]] = {}
-        for pdf in batches:
+        for texts in batches:
             out = []
-            for text in pdf["text"]:
+            for text in texts:
                 found = tokens(text)
                 place, rare = [], Counter()
                 for token in found:
@@ -225,10 +226,9 @@ def score(docs: DataFrame) -> DataFrame:
                 inner = log_c[i[i >= own]].sum() - log_class[cl[classed]].sum()
                 out.append((symbols, len(found) + 1, len(common) + (k["n_docs"] > 0), base, inner, list(rare), list(rare.values())))
             names = ["symbols", "n_tokens", "n_known", "base", "inner", "rare", "times"]
-            yield pd.concat([pdf[["doc_id", "held_out", "row"]], pd.DataFrame(out, columns=names, index=pdf.index)], axis=1)
+            yield pd.DataFrame(out, columns=names)
 
-    schema = "doc_id bigint, held_out boolean, row bigint, symbols array<int>, n_tokens bigint, n_known bigint, base double, inner double, rare array<bigint>, times array<bigint>"
-    rows = materialize(docs.select("doc_id", "held_out", "row", "text").mapInPandas(encode, schema), "lm-symbols")
+    rows = materialize(docs.select("doc_id", "held_out", "row", encode("text").alias("e")).select("doc_id", "held_out", "row", "e.*"), "lm-symbols")
     model = train(rows, shares)
     told = spark.sparkContext.broadcast(model)
 
@@ -254,7 +254,10 @@ def score(docs: DataFrame) -> DataFrame:
     # Repeated rows are summed together above; each takes its share.
     copies = rows.groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1")
     met = met.join(copies, "row", "left").select("row", *[(F.col(x) / F.coalesce("copies", F.lit(1))).alias(x) for x in ("rare_log", "rare_known")])
-    kept = rows.select("doc_id", "held_out", "row", "n_tokens", "n_known", "base", "inner", "symbols").mapInPandas(forward, "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inner double, sequence double")
+    # The id passes through Python as text: a null would make numbers of it that can't hold all ids.
+    texts = rows.select(F.col("doc_id").cast("string"), "held_out", "row", "n_tokens", "n_known", "base", "inner", "symbols")
+    kept = texts.mapInPandas(forward, "doc_id string, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inner double, sequence double")
+    kept = kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     both = kept.join(met, "row", "left").withColumn("rare_log", F.coalesce("rare_log", F.lit(0.0)))
     return both.select(
         "doc_id",

@@ -100,24 +100,29 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above[both] / wa[both] + below[both] / wb[both])).sum())
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = _Words()
-    for pdf in batches:
-        found = [shingles(t, words) for t in pdf["text"]]
-        sig = signatures([(e, c) for e, c, _ in found])
-        full = np.array([len(e) > 0 for e, _, _ in found], bool)
-        bytes_ = (_mix(sig) >> np.uint64(56)).astype(np.uint8)
-        band = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            band = _mix(band + sig[:, r : BANDS * ROWS : ROWS] * np.uint64(0x9E3779B97F4A7C15))
-        yield pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"],
-                "digest": [d for _, _, d in found],
-                "sig": [s.tobytes() if f else None for s, f in zip(bytes_, full, strict=True)],
-                "bands": [b.view(np.int64) if f else None for b, f in zip(band, full, strict=True)],
-            }
-        )
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the words, sig and bands (null for texts without words)."""
+
+    @F.pandas_udf("digest string, sig binary, bands array<bigint>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = _Words()
+        for texts in batches:
+            found = [shingles(t, words) for t in texts]
+            sig = signatures([(e, c) for e, c, _ in found])
+            full = [len(e) > 0 for e, _, _ in found]
+            bytes_ = (_mix(sig) >> np.uint64(56)).astype(np.uint8)
+            band = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for r in range(ROWS):
+                band = _mix(band + sig[:, r : BANDS * ROWS : ROWS] * np.uint64(0x9E3779B97F4A7C15))
+            yield pd.DataFrame(
+                {
+                    "digest": [d for _, _, d in found],
+                    "sig": [s.tobytes() if f else None for s, f in zip(bytes_, full, strict=True)],
+                    "bands": [b.view(np.int64) if f else None for b, f in zip(band, full, strict=True)],
+                }
+            )
+
+    return docs.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
 
 def agreement(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -320,7 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = materialize(docs.mapInPandas(_sketch, "doc_id bigint, digest string, sig binary, bands array<bigint>"), "near-sketches")
+    rows = materialize(sketches(docs), "near-sketches")
     same = rows.filter("sig is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = materialize(same, "near-texts")
     links, label = link(reps.filter("rep is not null").select("rep", "sig", "bands"), docs)

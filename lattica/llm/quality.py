@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +42,15 @@ def statistics(text: str | None, kinds: np.ndarray = _KINDS) -> list[float]:
     ]
 
 
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
-
-
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, x: one row for each document, in one pass over the texts; null counts as empty."""
     text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_statistics, "doc_id bigint, x array<double>")
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts])
+
+    return docs.select("doc_id", measured(F.coalesce("text", F.lit(""))).alias("x"))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> dict:
@@ -97,15 +95,13 @@ def log_odds(x: np.ndarray, model: dict) -> np.ndarray:
 def score(stats: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted for each row of document_statistics."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if "constant" in model:
-                p = np.full(len(pdf), model["constant"])
-            else:
-                p = 1 / (1 + np.exp(-np.clip(log_odds(np.array(pdf["x"].tolist()).reshape(len(pdf), -1), model), -500, 500))) if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= THRESHOLD).astype("int32")})
+    @F.pandas_udf("double")
+    def chance(x: pd.Series) -> pd.Series:
+        if "constant" in model or not len(x):
+            return pd.Series([model.get("constant", 0.0)] * len(x), dtype=float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(log_odds(np.array(x.tolist()).reshape(len(x), -1), model), -500, 500))))
 
-    return stats.mapInPandas(run, "doc_id bigint, score double, predicted int")
+    return stats.select("doc_id", chance("x").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
         out["redacted"] = [redact(t, s) if s else None for t, (_, s) in zip(whole, spans, strict=True)]
         return pd.DataFrame(out).astype({f"n_{name}": "int64" for name in KINDS})
 
-    return docs.withColumn("found", found("text"))
+    return docs.withColumn("found", found(F.coalesce("text", F.lit(""))))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "toxic-sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")
     terms = materialize(texts.mapInPandas(_training_terms, "label int, terms array<bigint>"), "toxic-terms")
     n, n1 = terms.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     n0 = n - n1
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for texts in batches:
             yield pd.Series(scores(list(texts), sent.value, cache))
 
-    return docs.withColumn("score", toxic("text")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.withColumn("score", toxic(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

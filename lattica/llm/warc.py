@@ -19,9 +19,8 @@ from lattica.llm.common import shared_dir, table
 LEAST_REVISIT = 1000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Fixed names of the revisit profile and of the record ids.
+#: Fixed name of the revisit profile.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "urn:lattica:{kind}:"
 
 
 def _record_id(kind: str, key: Column) -> Column:
@@ -32,7 +31,7 @@ def _record(fields: list[tuple[str, Column | str]], block: Column) -> Column:
     """One WARC record; fields that are null are left out, the length is that of the block's UTF-8."""
     lines = [F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit(CRLF)) for name, value in fields]
     head = F.concat_ws("", F.lit("WARC/1.1" + CRLF), *lines)
-    return F.concat(head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block, F.lit(CRLF * 2))
+    return F.concat(head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block)
 
 
 def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -49,11 +48,12 @@ def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def write(captures: DataFrame, path: str) -> None:
-    """Write request, response or revisit, and metadata records of each capture as .warc.gz text files under path.
+    """Write request, response or revisit, and metadata records of each capture as gzip files under path.
 
-    Every capture has an id of its own, so rows that share a page_id stay apart.
+    Record ids name the page and its payload's digest; equal rows have equal records. A record ends with the line
+    separator of the text writer, so the files are plain WARC.
     """
-    key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
     rows = captures.withColumn("key", key).withColumn("target", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x1F\x7F]", ""))
     page, uri = F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target")
     is_revisit = F.col("refers_to").isNotNull()
@@ -66,7 +66,7 @@ def write(captures: DataFrame, path: str) -> None:
             ("WARC-Target-URI", uri),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Profile", F.when(is_revisit, PROFILE)),
-            ("WARC-Refers-To", F.when(is_revisit, _record_id("page", F.col("refers_to").cast("string")))),
+            ("WARC-Refers-To", F.when(is_revisit, _record_id("response", F.concat(F.col("refers_to").cast("string"), F.lit(":"), F.col("digest"))))),
             ("Content-Type", "application/http; msgtype=response"),
         ],
         http,
@@ -79,7 +79,7 @@ def write(captures: DataFrame, path: str) -> None:
         [("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("key"))), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", _record_id("response", F.col("key"))), ("Content-Type", "application/warc-fields")],
         F.concat(F.lit("page: "), page, F.lit(CRLF + "payloadBytes: "), F.octet_length("payload").cast("string"), F.lit(CRLF)),
     )
-    rows.select(F.concat(request, response, metadata).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -172,7 +172,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica/warc-{uuid.uuid4().hex}"
     write(plan_revisits(table(spark, sf_dir, "pages")), path)
     captures = assemble(records(spark, path, with_payload=False))
-    page = lambda c: F.regexp_extract(c, r"^<urn:lattica:page:(-?\d+)>$", 1).cast("bigint")
+    page = lambda c: F.regexp_extract(c, r"^<urn:lattica:response:(-?\d+):", 1).cast("bigint")
     fields = F.col("metadata.fields")
     return captures.select(
         F.expr("try_cast(metadata.fields['page'] as bigint)").alias("page_id"),
