@@ -1,0 +1,8 @@
+"""Knowledge-graph analytics and training-data operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Worker functions travel with their task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

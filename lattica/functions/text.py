@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Results depend on each of these.
 TRIM_CHARS = ".,-·'\"“”‘’`"
@@ -23,13 +24,13 @@ DEIXIS = (
     r"hypothes[ie]s|conclusions?|aims?|assays?|protocols?|procedures?|process(?:es)?|experiments?|trials?)$"
 )
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9-]{2,18}[A-Za-z0-9]$"
-KEYWORD = r"\b([A-Z][A-Za-z0-9_\-]{1,}|[가-힣]{2,})\b"
+KEYWORD = r"(?U)\b([A-Z][A-Za-z0-9_\-]{1,}|[가-힣]{2,})\b"
 TRIVIAL = ["The", "This", "That", "These", "Those", "Inc", "Ltd", "Corp", "Co", "Company", "FY", "Q1", "Q2", "Q3", "Q4", "Note", "Notes", "Item", "그것", "이것", "저것", "여기", "거기"]
 
 _SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

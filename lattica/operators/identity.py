@@ -39,6 +39,11 @@ def trigram_embedding(text: str | None, dimension: int = 64) -> np.ndarray:
     return v / norm if norm else v
 
 
+def trigram_row(text: str) -> list[tuple]:
+    """trigram_embedding as an extractor's rows."""
+    return [(trigram_embedding(text).tolist(),)]
+
+
 def entity_id(namespace: Column, kind: Column, name: Column, source: Column) -> Column:
     """A deterministic id of 26 capitals and digits."""
     return F.upper(F.substring(F.sha2(F.concat_ws("\x1f", namespace, kind, name, source).cast("binary"), 256), 1, 26))

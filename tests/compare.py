@@ -18,7 +18,13 @@ def duck(sf_dir):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)
+
+    def plain(v):
+        if pd.isna(v):
+            return None
+        # A column of whole numbers with nulls may come as floats from either side.
+        return str(int(v)) if isinstance(v, float) and v == int(v) else repr(float(v)) if isinstance(v, float) else str(v)
+
     return sorted(([plain(v) for v in row] for row in df.itertuples(index=False)), key=str)
 
 
