@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Worker functions travel with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules["lattica"])
-
 #: Words of the mixing and language-model contracts: runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
