@@ -16,9 +16,11 @@ from lattica.llm.common import materialize, sized, table, text_batches
 #: Words of a shingle and the least probability Jaccard of a link.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature components, bands and their rows: of pairs at the threshold, (1 - 0.8^4)^24 = 3e-6 share no band.
-COMPONENTS, BANDS, ROWS = 192, 24, 4
-#: Pairs whose signatures agree less are no candidates; the threshold is nearly four standard errors above.
-MAYBE = 0.69
+COMPONENTS, BANDS, ROWS = 128, 24, 4
+#: Pairs whose signatures agree less are no candidates; the threshold is four standard errors above.
+MAYBE = 0.66
+#: Bands of the first round, which joins most copies; all further rounds take all bands.
+FIRST_BANDS = 8
 #: Members of a bucket that one task compares at a time; larger buckets are dealt over several tasks.
 CHUNK = 2048
 #: Rounds in which each member of a bucket proposes its best partner; then all pairs left are verified where they meet.
@@ -216,10 +218,10 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(rep, bucket) of all bands that a text shares with another one."""
-    rows = reps.select("rep", F.explode("bands").alias("bucket")).repartition("bucket")
+    """(rep, bucket, band) of all bands that a text shares with another one."""
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    return rows.join(shared, "bucket").select("rep", "bucket")
+    return rows.join(shared, "bucket").select("rep", "bucket", "band")
 
 
 def mixed_chunks(members: DataFrame, classes: DataFrame | None, turn: int, blocks: bool) -> DataFrame:
@@ -300,7 +302,8 @@ def link(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tried = links = label = None
     for turn in range(BEST_ROUNDS):
-        found = _by_chunk(mixed_chunks(members, label, turn, False).join(sigs, "rep").select("bucket", "chunk", "rep", "class", "sig"))
+        some = members if turn else members.filter(F.col("band") < FIRST_BANDS)
+        found = _by_chunk(mixed_chunks(some, label, turn, False).join(sigs, "rep").select("bucket", "chunk", "rep", "class", "sig"))
         found = found.mapInPandas(_in_chunks(False), "a bigint, b bigint").distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti") if tried is not None else found, "near-candidates")
         tried = found if tried is None else tried.unionByName(found)
