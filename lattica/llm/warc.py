@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import shared_dir, table
+from lattica.llm.common import materialize, shared_dir, table
 
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
@@ -171,7 +171,8 @@ def assemble(found: DataFrame) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica/warc-{uuid.uuid4().hex}"
     write(plan_revisits(table(spark, sf_dir, "pages")), path)
-    captures = assemble(records(spark, path, with_payload=False))
+    # Assembly reads the records several times; without payloads they are small enough to be written once.
+    captures = assemble(materialize(records(spark, path, with_payload=False), "warc-records"))
     page = lambda c: F.regexp_extract(c, r"^<urn:lattica:response:(-?\d+):", 1).cast("bigint")
     fields = F.col("metadata.fields")
     return captures.select(
