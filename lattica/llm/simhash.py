@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import materialize, sized, table
 
 #: Bits of a fingerprint; its votes are counted in 16 words of four 16-bit lanes.
 BITS = 64
@@ -103,33 +103,35 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, *, key
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_text and next_fingerprint of the row that follows by doc_id (the first row follows the last).
+    """doc_id, text, fingerprint of each row, with next_text and next_fingerprint of the row that follows by doc_id.
 
-    Takes doc_id, text, fingerprint. Rows with one id are ordered by text; a null id is before all others. The ids are
-    cut into runs of about RUN rows; each run is sorted on its own, and only the first text of each run passes to the
-    run before it. The width of a run follows from the range of the ids, and texts are shuffled once.
+    Takes doc_id, text (null is empty). The first row follows the last. Rows with one id are ordered by text; a null id
+    is before all others. The ids are cut into runs of about RUN rows; each run is sorted on its own, and only the
+    first text of each run passes to the run before it. The width of a run follows from the range of the ids. Texts are
+    shuffled once, with their fingerprints; those of the runs' first texts are made anew rather than moved.
     """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     width = max(1, round((high - low + 1) / max(1, n / RUN))) if n else 1
-    rows = docs.withColumn("run", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long"))
-    inside = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    placed = rows.withColumn("inner", F.lead(F.struct("text", "fingerprint")).over(inside)).withColumn("place", F.row_number().over(inside))
-    firsts = placed.filter("place = 1").select("run", F.struct("text", "fingerprint").alias("head"))
-    runs = rows.select("run").distinct().withColumn("block", F.floor(F.col("run") / RUN))
+    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long").alias("run")
+    starts = materialize(docs.select("doc_id", run).groupBy("run").agg(F.min("doc_id").alias("start")), "fingerprint-runs")
+    heads = docs.join(sized(starts), F.col("doc_id").eqNullSafe(F.col("start"))).groupBy("run").agg(F.min("text").alias("text"))
+    heads = add_fingerprints(heads, {"text": "fingerprint"}).select(F.col("run").alias("follow"), F.struct("text", "fingerprint").alias("head"))
     # The run after each run, by blocks of runs again, so that no task sees all runs.
-    in_block = Window.partitionBy("block").orderBy("run")
+    runs = starts.select("run", F.floor(F.col("run") / RUN).alias("block"))
     in_all = Window.orderBy("block")
     blocks = runs.groupBy("block").agg(F.min("run").alias("start"))
     blocks = blocks.select("block", F.coalesce(F.lead("start").over(in_all), F.first("start").over(in_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    order = runs.withColumn("follow", F.lead("run").over(in_block)).join(blocks, "block").select("run", F.coalesce("follow", "after").alias("follow"))
-    heads = order.join(firsts.withColumnRenamed("run", "follow"), "follow").select("run", "head")
-    after = F.coalesce("inner", "head")
-    return placed.join(heads, "run").select("doc_id", "text", "fingerprint", after["text"].alias("next_text"), after["fingerprint"].alias("next_fingerprint"))
+    order = runs.withColumn("follow", F.lead("run").over(Window.partitionBy("block").orderBy("run"))).join(blocks, "block")
+    heads = order.select("run", F.coalesce("follow", "after").alias("follow")).join(heads, "follow").select("run", "head")
+    rows = add_fingerprints(docs, {"text": "fingerprint"}).select("doc_id", "text", "fingerprint", run)
+    inside = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    placed = rows.withColumn("inner", F.lead(F.struct("text", "fingerprint")).over(inside)).join(heads, "run").withColumn("after", F.coalesce("inner", "head"))
+    return placed.select("doc_id", "text", "fingerprint", F.col("after.text").alias("next_text"), F.col("after.fingerprint").alias("next_fingerprint"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(add_fingerprints(docs, {"text": "fingerprint"}))
+    rows = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))

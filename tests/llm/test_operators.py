@@ -411,16 +411,13 @@ def test_fingerprints_against_brute_force(spark):
 def test_edited_texts(spark):
     rows = [(5, "abcdefgh"), (1, "xy"), (9, None), (30, "12345678")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    from pyspark.sql import functions as F
-
-    d = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for run in (1000, 1):
         simhash.RUN, before = run, simhash.RUN
-        got = {r["doc_id"]: r["next_text"] for r in simhash.with_next(simhash.add_fingerprints(d, {"text": "fingerprint"})).collect()}
+        got = {r["doc_id"]: r["next_text"] for r in simhash.with_next(d).collect()}
         simhash.RUN = before
         assert got == {1: "abcdefgh", 5: "", 9: "12345678", 30: "xy"}
-    assert simhash.with_next(simhash.add_fingerprints(d.limit(0), {"text": "fingerprint"})).collect() == []
-    odd = simhash.with_next(simhash.add_fingerprints(docs(spark, ODD).select("doc_id", "text").fillna(""), {"text": "fingerprint"}))
+    assert simhash.with_next(d.limit(0)).collect() == []
+    odd = simhash.with_next(docs(spark, ODD))
     assert odd.count() == len(ODD)
 
 
