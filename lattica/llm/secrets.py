@@ -24,13 +24,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 KEYWORDS = ("passw", "secret", "token", "api")
-#: Characters that an undecoded layer must have at least, and the nesting and unpacked size at which unwrapping ends.
-LEAST_LAYER, MOST_DEPTH, MOST_BYTES = 16, 8, 1 << 20
+#: What the layers of one document may add up to: so much and as often its length; layers left wrapped are counted.
+MOST_UNPACKED, MOST_TIMES = 1 << 26, 8
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,})={0,2}")
 PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:&?;,@!*'\"-]*%[0-9A-Fa-f]{2}[A-Za-z0-9%_.~+/=:&?;,@!*'\"-]*")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:'\"-]*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:'\"-]*)*")
 
 
+ESCAPES = re.compile(r"(?P<escapes>(?:%[0-9A-Fa-f]{2})+)|(?P<plain>[^%]+|%)")
+ESCAPED = re.compile(r"\\u(?P<u>[0-9A-Fa-f]{4})|\\x(?P<x>[0-9A-Fa-f]{2})|(?P<plain>.)", re.S)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base findings: leftmost, non-overlapping within a kind; short ones are dropped."""
     found = []
@@ -57,41 +61,83 @@ def _text(raw: bytes) -> str | None:
     return None if any(c < " " and c not in "\t\n\r" for c in out) else out
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """Unwrap a compressed layer by its magic number, up to MOST_BYTES."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MOST_BYTES)
-        if raw[:1] == b"\x78":
-            return zlib.decompressobj().decompress(raw, MOST_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MOST_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MOST_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
-
-
-def _opened(raw: bytes) -> str | None:
-    for _ in range(MOST_DEPTH):
-        if (more := _unpack(raw)) is None:
-            return _text(raw)
-        raw = more
-    return None
-
-
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, decoded) of each encoded run of the text: URL escapes, Unicode escapes, base64, and packed data in it."""
+class Unpacker:
+    """Unwraps compressed bytes by their magic numbers, within one document's allowance; cut counts what it refused."""
+
+    def __init__(self, room: int):
+        self.room, self.cut = room, 0
+
+    def takes(self, size: int) -> bool:
+        fits = size <= self.room
+        self.room -= size if fits else 0
+        self.cut += not fits
+        return fits
+
+    def _once(self, raw: bytes) -> bytes | None:
+        """The bytes inside, or None if raw is not compressed; at most one more than there is room for."""
+        try:
+            if raw[:2] == b"\x1f\x8b":
+                return zlib.decompressobj(31).decompress(raw, self.room + 1)
+            if raw[:1] == b"\x78":
+                return zlib.decompressobj().decompress(raw, self.room + 1)
+            if raw[:3] == b"BZh":
+                return bz2.BZ2Decompressor().decompress(raw, self.room + 1)
+            if raw[:6] == b"\xfd7zXZ\x00":
+                return lzma.LZMADecompressor().decompress(raw, self.room + 1)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            pass
+        return None
+
+    def text(self, raw: bytes) -> str | None:
+        """raw, unwrapped until it is not compressed, as text; None if it is no text or there is no room for it."""
+        while (more := self._once(raw)) is not None and more != raw:
+            if not self.takes(len(more)):
+                return None
+            raw = more
+        return _text(raw)
+
+
+def allowance(text: str) -> Unpacker:
+    return Unpacker(MOST_UNPACKED + MOST_TIMES * len(text))
+
+
+def _from_url(run: str) -> tuple[str, list[int]]:
+    """The run without URL escapes, and where each character of it starts. Escapes that are no UTF-8 stand for bytes."""
+    out, at = [], []
+    for m in ESCAPES.finditer(run):
+        part, sizes = m[0], None
+        if m["escapes"]:
+            raw = unquote_to_bytes(part)
+            try:
+                part = raw.decode("utf-8")
+                sizes = [3 * len(c.encode("utf-8")) for c in part]
+            except UnicodeDecodeError:
+                part, sizes = raw.decode("latin-1"), [3] * len(raw)
+        place = m.start()
+        for size in sizes or [1] * len(part):
+            at.append(place)
+            place += size
+        out.append(part)
+    return "".join(out), [*at, len(run)]
+
+
+def _from_unicode(run: str) -> tuple[str, list[int]]:
+    """The run without Unicode escapes, and where each character of it starts."""
+    found = list(ESCAPED.finditer(run))
+    return "".join(m["plain"] or chr(int(m["u"] or m["x"], 16)) for m in found), [*(m.start() for m in found), len(run)]
+
+
+def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, list[int] | None]]:
+    """(start, end, decoded, origin) of each encoded run: URL escapes, Unicode escapes, base64, and packed data in it.
+
+    origin has the place in the run of each decoded character and of the end; None if they stand for the run as a whole.
+    """
     if "%" in text:
         for m in PERCENT.finditer(text):
-            out = _text(unquote_to_bytes(m[0]))
-            if out is not None and out != m[0]:
-                yield m.start(), m.end(), out
+            yield m.start(), m.end(), *_from_url(m[0])
     if "\\u" in text or "\\x" in text:
         for m in UNICODE.finditer(text):
-            out = re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", lambda x: chr(int(x[1] or x[2], 16)), m[0])
-            yield m.start(), m.end(), out
+            yield m.start(), m.end(), *_from_unicode(m[0])
     for m in BASE64.finditer(text):
         run = m[0]
         core = run.rstrip("=")
@@ -102,26 +148,39 @@ def layers(text: str) -> Iterator[tuple[int, int, str]]:
             raw = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        out = _opened(raw)
+        out = unpack.text(raw)
         if out:
-            yield m.start(), m.end(), out
+            yield m.start(), m.end(), out, None
 
 
-def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base, all) spans of a text; a finding inside nested layers has the span of the outermost encoded run.
+def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base, all) spans of a text; a finding in a layer has the span that the layer's characters stand for.
 
-    Layers wait in a worklist until none is new; one that was seen before is not unwrapped again, so cycles end.
+    A worklist unwraps every different layer once, until none is new, so cycles end. An allowance bounds what layers add
+    up to, against texts made to unpack without end. Findings are then carried outwards, to all places a layer is
+    wrapped in, until no text gets a new one.
     """
     base = base_spans(text)
-    out, seen = set(base), {text}
-    work = [(s, e, layer, 1) for s, e, layer in layers(text)]
+    unpack = unpack or allowance(text)
+    found, wraps, work = {text: set(base)}, {}, [text]
+    while work:
+        layer = work.pop()
+        for start, end, inner, origin in layers(layer, unpack):
+            if inner not in found:
+                if not unpack.takes(len(inner)):
+                    continue
+                found[inner] = set(base_spans(inner))
+                work.append(inner)
+            wraps.setdefault(inner, []).append((layer, start, end, origin))
+    work = [layer for layer in wraps if found[layer]]
     while work:
-        start, end, layer, depth = work.pop()
-        out.update((start, kind, end) for _, kind, _ in base_spans(layer))
-        if layer not in seen and depth < MOST_DEPTH:
-            seen.add(layer)
-            work += [(start, end, inner, depth + 1) for _, _, inner in layers(layer)]
-    return base, sorted(out)
+        inner = work.pop()
+        for layer, start, end, origin in wraps.get(inner, []):
+            new = {(start, k, end) if origin is None else (start + origin[s], k, start + origin[e]) for s, k, e in found[inner]} - found[layer]
+            if new:
+                found[layer] |= new
+                work.append(layer)
+    return base, sorted(found[text])
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
@@ -139,22 +198,26 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with found: counts of base kinds, base and spans as text, and the redacted text.
+    """All columns of docs, with found: counts of base kinds, base and spans as text, the redacted text, and n_cut.
+
+    n_cut counts the layers left wrapped, as all of their document would exceed its allowance.
 
     Spans are kind:start:end by start, then kind, then end, in code points, the end exclusive. Null counts as empty;
     ties and repeated rows are rows of their own; an empty table gives no rows. A column named found is replaced.
     """
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, redacted string")
+    @F.pandas_udf("n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, redacted string, n_cut bigint")
     def found(texts: pd.Series) -> pd.DataFrame:
         whole = [t or "" for t in texts]
-        spans = [all_spans(t) for t in whole]
+        unpackers = [allowance(t) for t in whole]
+        spans = [all_spans(t, u) for t, u in zip(whole, unpackers, strict=True)]
         out = {f"n_{name}": [sum(x[1] == k for x in base) for base, _ in spans] for k, name in enumerate(KINDS)}
         out |= {"base": [_named(b) for b, _ in spans], "spans": [_named(s) for _, s in spans]}
         # Only texts with a finding travel back.
         out["redacted"] = [redact(t, s) if s else None for t, (_, s) in zip(whole, spans, strict=True)]
-        return pd.DataFrame(out).astype({f"n_{name}": "int64" for name in KINDS})
+        out["n_cut"] = [u.cut for u in unpackers]
+        return pd.DataFrame(out).astype({name: "int64" for name in out if name.startswith("n_")})
 
     return docs.withColumn("found", found(F.coalesce("text", F.lit(""))))
 

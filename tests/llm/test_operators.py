@@ -195,6 +195,34 @@ def test_nested_layers(wrap):
     assert "after" in secrets.redact(text, found) and wrap(secret) not in secrets.redact(text, found)
 
 
+def test_spans_of_layers_are_mapped():
+    text = "x=%20y&password%3DZx81kfQp02mmAA&plain=1 \\u0070assword=Zx81kfQp02mmAB"
+    base, found = secrets.all_spans(text)
+    assert base == []
+    assert {text[s:e] for s, _, e in found} == {"password%3DZx81kfQp02mmAA", "\\u0070assword=Zx81kfQp02mmAB"}
+    # What a run holds in clear keeps its own span.
+    clear = "a%20b&password=Zx81kfQp02mmAA"
+    assert secrets.all_spans(clear)[1] == secrets.base_spans(clear) == [(6, 0, 29)]
+    # Escapes that are no UTF-8 hide nothing.
+    assert [k for _, k, _ in secrets.all_spans("%ff%00&passwor%64=Zx81kfQp02mmAA")[1]] == [0]
+
+
+def test_every_copy_of_a_nested_layer_is_found():
+    wrapped = "password=Zx81kfQp02mmAA"
+    for _ in range(12):
+        wrapped = base64.b64encode(wrapped.encode()).decode()
+    text = f"{wrapped} and {wrapped}"
+    assert secrets.all_spans(text)[1] == [(0, 0, len(wrapped)), (len(wrapped) + 5, 0, len(text))]
+
+
+def test_unpacking_has_an_allowance():
+    big = b"password=Zx81kfQp02mmAA " + b"word " * 400_000
+    text = base64.b64encode(gzip.compress(big, mtime=0)).decode()
+    assert secrets.all_spans(text)[1] == [(0, 0, len(text))]
+    tight = secrets.Unpacker(1 << 20)
+    assert secrets.all_spans(text, tight)[1] == [] and tight.cut == 1
+
+
 def test_secret_cycles_end_and_words_are_left_alone(spark):
     assert secrets.all_spans("%25" * 40 + " " + "QUJD" * 30)[1] == []
     out = secrets.scan(docs(spark, [*ODD, (8, "AKIAABCDEFGHIJKL0")])).select("doc_id", "found.*").collect()
