@@ -224,7 +224,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found.*")
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_cut")
 
 
 QUERIES = {"op5_secrets": op5_secrets}
