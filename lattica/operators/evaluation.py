@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +112,47 @@ def dry_run_cost(units: DataFrame, prices: DataFrame, *, output_tokens: int = 20
     total = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     usd = (F.col("tokens") * F.col("input") + F.col("units") * output_tokens * F.col("output")) / 1e6
     return prices.crossJoin(F.broadcast(total)).select("model", "units", "tokens", F.round(usd, 6).alias("usd"))
+
+
+def canonical_metrics(responses: DataFrame, shape: str) -> DataFrame:
+    """question_id, run_index, token counts, latency_ms, model, choice, reasoning and parse_error of stored answers.
+
+    responses has body (JSON). shape says where its fields are: plain (one prompt, no embedding), chunks (the same with
+    embedding tokens), graph (totals over two calls). Missing numbers are 0; a total is the stored one, else the sum. A
+    graph answer without a parsed body takes the error of its anchor call.
+    """
+    of = lambda path: F.get_json_object("body", f"$.{path}")
+    number = lambda path: F.coalesce(of(path).cast("bigint"), F.lit(0).cast("bigint"))
+    graph = shape == "graph"
+    if not graph and shape not in ("plain", "chunks"):
+        raise ValueError(f"unknown shape: {shape}")
+    total, at = ("total_", "answer_generation.") if graph else ("", "")
+    read = number(f"{total}input_tokens")
+    written = number(f"{total}output_tokens")
+    embedded = number("embedding_tokens_estimated" if graph else "embedding_tokens") if shape != "plain" else F.lit(0).cast("bigint")
+    added = read + written + embedded
+    anchor = of("anchor_extraction.parse_error")
+    upstream = F.when(of(f"{at}parsed").isNull(), F.concat(F.lit("anchor_parse_error: "), anchor)) if graph else F.lit(None).cast("string")
+    return responses.select(
+        F.coalesce(of("question_id"), F.lit("")).alias("question_id"),
+        number("run_index").alias("run_index"),
+        read.alias("input_tokens"),
+        written.alias("output_tokens"),
+        embedded.alias("embedding_tokens"),
+        (added if shape == "plain" else F.coalesce(of("total_tokens").cast("bigint"), added)).alias("total_tokens"),
+        number(f"{total}latency_ms").alias("latency_ms"),
+        F.coalesce(of(f"{at}model"), F.lit("")).alias("model"),
+        F.lower(F.btrim(of(f"{at}parsed.choice"))).alias("choice"),
+        F.coalesce(of(f"{at}parsed.reasoning"), F.lit("")).alias("reasoning"),
+        F.coalesce(of(f"{at}parse_error"), upstream).alias("parse_error"),
+    )
+
+
+def blind_labels(question_ids: list[str], strategies: list[str], seed: int | None = None) -> dict[str, dict[str, str]]:
+    """For each question, the strategy behind each letter, shuffled anew; one generator goes through all questions."""
+    rng, out = random.Random(seed), {}
+    for question in question_ids:
+        shuffled = [*strategies]
+        rng.shuffle(shuffled)
+        out[question] = dict(zip(string.ascii_uppercase, shuffled, strict=False))
+    return out

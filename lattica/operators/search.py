@@ -27,15 +27,27 @@ def bm25(rows: DataFrame, keywords: list[str], limit: int, *, text: str = "searc
     spark = rows.sparkSession
     if not asked:
         return spark.createDataFrame([], "id string, matched_keyword string, score double")
+    terms = F.broadcast(spark.createDataFrame(asked, "matched_keyword string, term string"))
+    split = rows.select("id", tokens(F.col(text)).alias("tokens"))
+    own = F.filter("tokens", lambda t: t.isin([t for _, t in asked]))
+    return _best(split, split.select("id", F.size("tokens").alias("dl"), F.explode(own).alias("term")), terms, limit)
+
+
+def bm25_of(rows: DataFrame, keywords: DataFrame, limit: int, *, text: str = "search_text") -> DataFrame:
+    """bm25 of the keywords of a table of any size (matched_keyword), joined by their terms."""
+    asked = keywords.select("matched_keyword").distinct().select("matched_keyword", F.explode(F.array_distinct(tokens(F.col("matched_keyword")))).alias("term"))
     split = rows.select("id", tokens(F.col(text)).alias("tokens"))
-    sized = split.select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin([t for _, t in asked]))).alias("term"))
+    found = split.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return _best(split, found, asked, limit)
+
+
+def _best(split: DataFrame, found: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     n, average = split.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    postings = sized.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = found.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
-    terms = F.broadcast(spark.createDataFrame(asked, "matched_keyword string, term string"))
-    hits = postings.join(df, "term").join(terms, "term").groupBy("id", "matched_keyword").agg(F.round(F.sum(score), 6).alias("score"))
+    hits = postings.join(df, "term").join(asked, "term").groupBy("id", "matched_keyword").agg(F.round(F.sum(score), 6).alias("score"))
     best = Window.partitionBy("matched_keyword").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).drop("rank")
 

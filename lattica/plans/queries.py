@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import chunking, text
-from lattica.operators import changes, evaluation, identity, search, statistics, traverse
+from lattica.operators import changes, context, evaluation, identity, search, statistics, traverse
 from lattica.plans.stargraph import GRAPH_SQL, entities, relation_rows, relations, table
 
 QUERIES: dict = {}
@@ -232,6 +232,48 @@ def search_restricted(spark, sf_dir):
     return search.dense(queries.filter("query = 0"), rows.filter(F.col("label").isin(1, 2)), 8).select("id", F.col("similarity").alias("score"))
 
 
+CHUNK_KEYWORDS = [(1, "red widget"), (1, "gear"), (2, "economy"), (2, "gear"), (3, "")]
+KNOWN_SQL = BM25_SQL.replace("SELECT id, matched_keyword, score FROM sc", ", b AS (SELECT id, matched_keyword, score FROM sc") + """),
+n AS (SELECT * FROM (VALUES (1, 'red widget'), (1, 'gear'), (2, 'economy'), (2, 'gear')) AS t(chunk, matched_keyword))
+SELECT chunk, id, max(score) AS score FROM n JOIN b USING (matched_keyword) GROUP BY chunk, id QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY max(score) DESC, id) <= 10"""
+
+
+@query(KNOWN_SQL, graph=True)
+def context_known_entities(spark, sf_dir):
+    """Entities that the keywords of three chunks find."""
+    return context.known_entities(spark.createDataFrame(CHUNK_KEYWORDS, "chunk int, keyword string"), _parts(spark, sf_dir))
+
+
+@query("SELECT source_path, arg_min(part, part * 100000 + position) AS part, arg_min(position, part * 100000 + position) AS position FROM (SELECT source AS source_path, 0 AS part, doc_id AS position FROM documents WHERE lang = 'de' UNION ALL SELECT source, 1, doc_id FROM documents) GROUP BY source_path")
+def context_source_paths(spark, sf_dir):
+    """Sources of the documents in one language, then of all, by first mention."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_path"), F.col("doc_id").alias("position"), "lang")
+    return context.source_paths(docs.filter("lang = 'de'"), docs)
+
+
+@query("SELECT q.vec_id AS query, d.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity, 'sources' AS reason FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.label = 1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, d.vec_id) <= 8 + 4")
+def context_guided_chunks(spark, sf_dir):
+    """Chunks of one source (a label, as a folder's file) near each query vector."""
+    queries, rows = _vectors(spark, sf_dir)
+    return context.guided_chunks(queries, rows.withColumn("source_path", F.concat(F.lit("corpus/"), F.col("label").cast("string"), F.lit(".md"))), ["1.md"])
+
+
+@query(
+    f""", {expand_sql(['O1', 'O2'], 2, 60)},
+nn AS (SELECT v2.id, name, type, description, count(*) OVER (PARTITION BY name) AS n FROM v2 JOIN e USING (id)),
+dn AS (SELECT *, CASE WHEN n > 1 THEN name || ' [id=' || id[:6] || ']' ELSE name END AS display FROM nn)
+SELECT 'nodes' AS section, id, '- ' || display || ' (type: ' || type || ', aliases: [])' || CASE WHEN description <> '' THEN chr(10) || '  설명: ' || description ELSE '' END || chr(10) || '  출처: (없음)' AS block FROM dn
+UNION ALL SELECT 'edges', s.id, '- ' || a.display || ' --' || s.type || '--> ' || b.display || chr(10) || '  출처: star:0' FROM s JOIN dn a ON a.id = from_id JOIN dn b ON b.id = to_id""",
+    graph=True,
+)
+def context_graph_blocks(spark, sf_dir):
+    """The nodes and relations of a bounded search as text."""
+    found = traverse.expand(*_graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60)
+    refs = "array<struct<source_path:string,chunk_index:int>>"
+    nodes = entities(spark, sf_dir).join(F.broadcast(found.nodes), "id").withColumn("aliases", F.array().cast("array<string>")).withColumn("source_refs", F.lit(None).cast(refs))
+    return context.graph_blocks(nodes, found.edges.withColumn("source_refs", F.array(F.struct(F.lit("star").alias("source_path"), F.lit(0).alias("chunk_index")))))
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
@@ -376,6 +418,14 @@ def _metrics(spark, sf_dir):
     return evaluation.aggregate_columns(_answers(spark, sf_dir).withColumn("price", F.col("tokens") * 2.5 / 1e6)).withColumn("tokens_p95", F.col("tokens_p95").cast("double"))
 
 
+@query("SELECT event_id::VARCHAR AS question_id, event_id % 3 AS run_index, (props->>'k')::BIGINT AS input_tokens, 7 AS output_tokens, event_id % 5 AS embedding_tokens, (props->>'k')::BIGINT + 7 + event_id % 5 AS total_tokens, 0 AS latency_ms, event_type AS model, 'b' AS choice, '' AS reasoning, NULL AS parse_error FROM events")
+def eval_canonical_metrics(spark, sf_dir):
+    """Stored answers of the graph's shape, read from JSON."""
+    said = F.struct(F.col("event_type").alias("model"), F.struct(F.lit(" B ").alias("choice")).alias("parsed"))
+    body = F.struct(F.col("event_id").alias("question_id"), (F.col("event_id") % 3).alias("run_index"), F.get_json_object("props", "$.k").cast("bigint").alias("total_input_tokens"), F.lit(7).alias("total_output_tokens"), (F.col("event_id") % 5).alias("embedding_tokens_estimated"), said.alias("answer_generation"))
+    return evaluation.canonical_metrics(table(spark, sf_dir, "events").select(F.to_json(body).alias("body")), "graph")
+
+
 @query(f"{METRICS_SQL} SELECT * FROM x JOIN y USING (strategy)")
 def eval_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
