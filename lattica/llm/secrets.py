@@ -8,7 +8,8 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -27,12 +28,8 @@ KEYWORDS = ("passw", "secret", "token", "api")
 #: What the layers of one document may add up to: so much and as often its length; layers left wrapped are counted.
 MOST_UNPACKED, MOST_TIMES = 1 << 26, 8
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,})={0,2}")
-PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:&?;,@!*'\"-]*%[0-9A-Fa-f]{2}[A-Za-z0-9%_.~+/=:&?;,@!*'\"-]*")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:'\"-]*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:'\"-]*)*")
-
-
-ESCAPES = re.compile(r"(?P<escapes>(?:%[0-9A-Fa-f]{2})+)|(?P<plain>[^%]+|%)")
-ESCAPED = re.compile(r"\\u(?P<u>[0-9A-Fa-f]{4})|\\x(?P<x>[0-9A-Fa-f]{2})|(?P<plain>.)", re.S)
+URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,7 +62,7 @@ class Unpacker:
     """Unwraps compressed bytes by their magic numbers, within one document's allowance; cut counts what it refused."""
 
     def __init__(self, room: int):
-        self.room, self.cut = room, 0
+        self.room, self.cut, self.known = room, 0, {}
 
     def takes(self, size: int) -> bool:
         fits = size <= self.room
@@ -96,59 +93,84 @@ class Unpacker:
             raw = more
         return _text(raw)
 
+    def run(self, core: str) -> str | None:
+        """The text in a base64 run without padding; the layers of a text repeat its runs, and each is unwrapped once."""
+        if core not in self.known:
+            try:
+                raw = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                raw = None
+            self.known[core] = None if raw is None else self.text(raw)
+        return self.known[core]
+
 
 def allowance(text: str) -> Unpacker:
     return Unpacker(MOST_UNPACKED + MOST_TIMES * len(text))
 
 
-def _from_url(run: str) -> tuple[str, list[int]]:
-    """The run without URL escapes, and where each character of it starts. Escapes that are no UTF-8 stand for bytes."""
-    out, at = [], []
-    for m in ESCAPES.finditer(run):
-        part, sizes = m[0], None
-        if m["escapes"]:
-            raw = unquote_to_bytes(part)
-            try:
-                part = raw.decode("utf-8")
-                sizes = [3 * len(c.encode("utf-8")) for c in part]
-            except UnicodeDecodeError:
-                part, sizes = raw.decode("latin-1"), [3] * len(raw)
-        place = m.start()
-        for size in sizes or [1] * len(part):
-            at.append(place)
-            place += size
-        out.append(part)
-    return "".join(out), [*at, len(run)]
+class Origin:
+    """Where the characters of a decoded text start in the text it comes from: decoded and original starts of its pieces."""
 
+    def __init__(self) -> None:
+        self.inner, self.outer = [], []
 
-def _from_unicode(run: str) -> tuple[str, list[int]]:
-    """The run without Unicode escapes, and where each character of it starts."""
-    found = list(ESCAPED.finditer(run))
-    return "".join(m["plain"] or chr(int(m["u"] or m["x"], 16)) for m in found), [*(m.start() for m in found), len(run)]
+    def add(self, inner: int, outer: int) -> None:
+        self.inner.append(inner)
+        self.outer.append(outer)
 
+    def __getitem__(self, place: int) -> int:
+        k = bisect_right(self.inner, place) - 1
+        return self.outer[k] + place - self.inner[k]
 
-def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, list[int] | None]]:
-    """(start, end, decoded, origin) of each encoded run: URL escapes, Unicode escapes, base64, and packed data in it.
 
-    origin has the place in the run of each decoded character and of the end; None if they stand for the run as a whole.
+def _decoded(text: str, escapes: re.Pattern, decode: Callable[[re.Match], list[tuple[str, int]]]) -> tuple[str, Origin] | None:
+    """The whole text with its escapes replaced by the (character, size) pairs they stand for; None if it has none."""
+    out, origin, at, place = [], Origin(), 0, 0
+    for m in escapes.finditer(text):
+        origin.add(at, place)
+        out.append(text[place : m.start()])
+        at, place = at + m.start() - place, m.start()
+        for char, size in decode(m):
+            origin.add(at, place)
+            out.append(char)
+            at, place = at + 1, place + size
+    if not out:
+        return None
+    origin.add(at, place)
+    out.append(text[place:])
+    return "".join(out), origin
+
+
+def _url(m: re.Match) -> list[tuple[str, int]]:
+    """Escapes that are no UTF-8 stand for bytes."""
+    raw = unquote_to_bytes(m[0])
+    try:
+        return [(c, 3 * len(c.encode("utf-8"))) for c in raw.decode("utf-8")]
+    except UnicodeDecodeError:
+        return [(c, 3) for c in raw.decode("latin-1")]
+
+
+def _unicode(m: re.Match) -> list[tuple[str, int]]:
+    return [(chr(int(m[1] or m[2], 16)), len(m[0]))]
+
+
+def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, Origin | None]]:
+    """(start, end, decoded, origin): the whole text without URL escapes, without Unicode escapes, and each base64 run.
+
+    Text around an escape stays with it, as a finding may reach over both. origin has the place of each decoded
+    character and of the end; None if they stand for the run as a whole.
     """
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            yield m.start(), m.end(), *_from_url(m[0])
-    if "\\u" in text or "\\x" in text:
-        for m in UNICODE.finditer(text):
-            yield m.start(), m.end(), *_from_unicode(m[0])
+    if "%" in text and (more := _decoded(text, URL_ESCAPES, _url)):
+        yield 0, len(text), *more
+    if ("\\u" in text or "\\x" in text) and (more := _decoded(text, UNICODE_ESCAPE, _unicode)):
+        yield 0, len(text), *more
     for m in BASE64.finditer(text):
         run = m[0]
         core = run.rstrip("=")
         # A run of one case only is a word; base64 of text mixes cases or has digits.
         if len(core) % 4 == 1 or core.islower() or core.isupper() or core.isdigit():
             continue
-        try:
-            raw = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        out = unpack.text(raw)
+        out = unpack.run(core)
         if out:
             yield m.start(), m.end(), out, None
 

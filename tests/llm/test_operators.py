@@ -207,6 +207,25 @@ def test_spans_of_layers_are_mapped():
     assert [k for _, k, _ in secrets.all_spans("%ff%00&passwor%64=Zx81kfQp02mmAA")[1]] == [0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password\\u003dhunter2hunter2",
+        "pass\\u0077ord=hunter2hunter2",
+        "AK\\u0049AABCDEFGHIJKLMNOP",
+        "\\u0070assword = hunter2hunter2",
+        "password: \\u0022hunter2hunter2",
+        "password = %22hunter2hunter2",
+        "password: hunter%32hunter2",
+        "passwor\\x64%20%3d hunter2hunter2",
+    ],
+)
+def test_findings_reach_over_escapes(text):
+    """The text on both sides of an escape belongs to its layer."""
+    base, found = secrets.all_spans(f"é% {text} after")
+    assert base == [] and [(s, e) for s, _, e in found] == [(3, 3 + len(text))]
+
+
 def test_every_copy_of_a_nested_layer_is_found():
     wrapped = "password=Zx81kfQp02mmAA"
     for _ in range(12):
