@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -27,7 +26,12 @@ LONG_HEX = re.compile(r"[0-9a-f]{32}")
 KEYWORDS = ("passw", "secret", "token", "api")
 #: What the layers of one document may add up to: so much and as often its length; layers left wrapped are counted.
 MOST_UNPACKED, MOST_TIMES = 1 << 26, 8
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{20,}|[A-Za-z0-9_-]{20,})={0,2}")
+#: The shortest base64 that can hold a finding: 32 equal digits in zlib.
+LEAST_BASE64 = 15
+BASE64 = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{%d,}={0,2}" % LEAST_BASE64), re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{%d,}={0,2}" % LEAST_BASE64))
+#: Lines that end and go on with characters of base64.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
@@ -49,13 +53,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _text(raw: bytes) -> str | None:
-    """raw as text if it can be one: UTF-8 without control characters."""
+DAMAGED = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
+
+
+def _text(raw: bytes) -> str:
+    """raw as UTF-8, or each byte as a character: findings are ASCII, so bytes that are no text hide none around them."""
     try:
-        out = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return None if any(c < " " and c not in "\t\n\r" for c in out) else out
+        return raw.decode("latin-1")
+
+
+def _decompressor(raw: bytes) -> Callable | None:
+    """What unwraps data of raw's magic number."""
+    if raw[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if raw[:1] == b"\x78":
+        return zlib.decompressobj
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _member(new: Callable, raw: bytes, most: int) -> tuple[bytes, bytes, bool]:
+    """(inside, after, whole) of the stream that raw begins with; of damaged data what comes before the damage."""
+    try:
+        d = new()
+        return d.decompress(raw, most), d.unused_data, True
+    except DAMAGED:
+        d, out, size = new(), [], 0
+    try:
+        for k in range(len(raw)):
+            out.append(d.decompress(raw[k : k + 1]))
+            size += len(out[-1])
+            if size >= most:
+                break
+    except DAMAGED:
+        pass
+    return b"".join(out)[:most], raw, False
 
 
 class Unpacker:
@@ -70,37 +107,37 @@ class Unpacker:
         self.cut += not fits
         return fits
 
-    def _once(self, raw: bytes) -> bytes | None:
-        """The bytes inside, or None if raw is not compressed; at most one more than there is room for."""
-        try:
-            if raw[:2] == b"\x1f\x8b":
-                return zlib.decompressobj(31).decompress(raw, self.room + 1)
-            if raw[:1] == b"\x78":
-                return zlib.decompressobj().decompress(raw, self.room + 1)
-            if raw[:3] == b"BZh":
-                return bz2.BZ2Decompressor().decompress(raw, self.room + 1)
-            if raw[:6] == b"\xfd7zXZ\x00":
-                return lzma.LZMADecompressor().decompress(raw, self.room + 1)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            pass
-        return None
-
-    def text(self, raw: bytes) -> str | None:
-        """raw, unwrapped until it is not compressed, as text; None if it is no text or there is no room for it."""
-        while (more := self._once(raw)) is not None and more != raw:
-            if not self.takes(len(more)):
-                return None
-            raw = more
-        return _text(raw)
-
-    def run(self, core: str) -> str | None:
-        """The text in a base64 run without padding; the layers of a text repeat its runs, and each is unwrapped once."""
+    def _inside(self, raw: bytes) -> tuple[bytes, bytes]:
+        """What all streams one after another at the start of raw hold, and the bytes after them; at most one byte more than there is room for."""
+        out, size = [], 0
+        while size <= self.room and (new := _decompressor(raw)):
+            part, after, whole = _member(new, raw, self.room + 1 - size)
+            out.append(part)
+            size += len(part)
+            if not whole:
+                break
+            # Streams may be padded.
+            raw = after.lstrip(b"\0")
+        return b"".join(out), raw
+
+    def texts(self, raw: bytes) -> list[str]:
+        """raw as texts, unwrapped until nothing is compressed: what streams hold, and what is beside them."""
+        out, seen, work = [], {raw}, [raw]
+        while work:
+            inside, rest = self._inside(work.pop())
+            if rest:
+                out.append(_text(rest))
+            if inside and inside not in seen and self.takes(len(inside)):
+                seen.add(inside)
+                work.append(inside)
+        return out
+
+    def run(self, core: str) -> list[str]:
+        """The texts in a base64 run without padding; the layers of a text repeat its runs, and each is unwrapped once."""
         if core not in self.known:
-            try:
-                raw = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                raw = None
-            self.known[core] = None if raw is None else self.text(raw)
+            # One character over stands for no byte.
+            core_ = core[: len(core) - (len(core) % 4 == 1)].replace("-", "+").replace("_", "/")
+            self.known[core] = self.texts(base64.b64decode(core_ + "=" * (-len(core_) % 4)))
         return self.known[core]
 
 
@@ -154,6 +191,32 @@ def _unicode(m: re.Match) -> list[tuple[str, int]]:
     return [(chr(int(m[1] or m[2], 16)), len(m[0]))]
 
 
+def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run without padding) of base64 in either alphabet, on one line or wrapped.
+
+    Wrapped lines are of one width but for a shorter last; each such block is a run. As its first line may be of another
+    width and widths may vary, it is also one with the line before it, and so are all lines together.
+    """
+    for kind in BASE64:
+        for m in kind.finditer(text):
+            yield m.start(), m.end(), m[0].rstrip("=")
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [(x.start() + m.start(), x[0]) for x in LINE.finditer(m[0])]
+        blocks, k = {(0, len(lines))}, 0
+        while k < len(lines) - 1:
+            width, to = len(lines[k][1]), k + 1
+            while to < len(lines) and len(lines[to][1]) == width:
+                to += 1
+            short = to < len(lines) and len(lines[to][1]) < width
+            blocks |= {(k, to + short), (max(k - 1, 0), to + short)}
+            # The shorter line may as well begin the next block.
+            k = to
+        for k, to in sorted(blocks):
+            core = "".join(line for _, line in lines[k:to])
+            if to - k > 1 and len(core) >= LEAST_BASE64:
+                yield lines[k][0], m.end() if to == len(lines) else lines[to - 1][0] + len(lines[to - 1][1]), core
+
+
 def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, Origin | None]]:
     """(start, end, decoded, origin): the whole text without URL escapes, without Unicode escapes, and each base64 run.
 
@@ -164,15 +227,10 @@ def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, Origin
         yield 0, len(text), *more
     if ("\\u" in text or "\\x" in text) and (more := _decoded(text, UNICODE_ESCAPE, _unicode)):
         yield 0, len(text), *more
-    for m in BASE64.finditer(text):
-        run = m[0]
-        core = run.rstrip("=")
-        # A run of one case only is a word; base64 of text mixes cases or has digits.
-        if len(core) % 4 == 1 or core.islower() or core.isupper() or core.isdigit():
-            continue
-        out = unpack.run(core)
-        if out:
-            yield m.start(), m.end(), out, None
+    for start, end, core in base64_runs(text):
+        for out in unpack.run(core):
+            if out:
+                yield start, end, out, None
 
 
 def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

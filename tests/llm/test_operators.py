@@ -1,10 +1,13 @@
 """The training-data operators against SQL, brute force, round trips and held-out accuracy."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
+import zlib
 from collections import Counter
 from urllib.parse import quote
 from zlib import crc32
@@ -226,6 +229,49 @@ def test_findings_reach_over_escapes(text):
     assert base == [] and [(s, e) for s, _, e in found] == [(3, 3 + len(text))]
 
 
+def _base64(raw, width=0):
+    text = base64.b64encode(raw).decode()
+    return "\n".join(text[k : k + width] for k in range(0, len(text), width)) if width else text
+
+
+SECRET = b"password=Zx81kfQp02mmAA"
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        "dG9rZW49YWJjZDEyMzQ=",
+        _base64(b"some words before the line break, token" + b" " * 14 + SECRET + b" more", 76),
+        _base64(b"some words before the line break, token" + b" " * 14 + SECRET + b" more", 76).replace("\n", "\r\n  "),
+        _base64(gzip.compress(b" ".join(hashlib.sha512(bytes([k])).digest() for k in range(40)) + SECRET, mtime=0), 64),
+        _base64(gzip.compress(b"clean", mtime=0) + gzip.compress(SECRET, mtime=0)),
+        _base64(bz2.compress(b"clean") + bz2.compress(SECRET)),
+        _base64(lzma.compress(b"clean") + lzma.compress(SECRET)),
+        _base64(zlib.compress(b"clean") + b"\0" + zlib.compress(SECRET)),
+        _base64(zlib.compress(b"clean") + SECRET),
+        _base64(zlib.compress(SECRET + b" and more words than these")[:-1] + b"\0"),
+        _base64(b"\xff\xfe" + SECRET),
+        _base64(SECRET + b"\0"),
+        _base64(zlib.compress(b"0" * 32, 9)),
+        base64.urlsafe_b64encode(b"words before it: " * 2 + b"~~~>>>???" + SECRET).decode(),
+    ],
+)
+def test_base64_is_read_whole(run):
+    text = f"é before:\n{run}\n; after"
+    base, found = secrets.all_spans(text)
+    assert base == [] and (10, 10 + len(run)) in {(s, e) for s, _, e in found}
+    assert secrets.redact(text, found) == "é before:\n[SECRET]\n; after"
+
+
+def test_words_around_wrapped_base64():
+    """The block is found between lines of other widths, and with a first line of another width."""
+    wrapped = _base64(b"some words before the line break, token" + b" " * 14 + SECRET + b" more", 76)
+    text = f"see\nbelow\n{wrapped}\nafter\nit"
+    assert (10, 0, 10 + len(wrapped)) in secrets.all_spans(text)[1]
+    text = f"Basic: {wrapped[:60]}\n {wrapped[60:].replace(chr(10), '')}"
+    assert (7, 0, len(text)) in secrets.all_spans(text)[1]
+
+
 def test_every_copy_of_a_nested_layer_is_found():
     wrapped = "password=Zx81kfQp02mmAA"
     for _ in range(12):
