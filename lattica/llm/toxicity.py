@@ -1,4 +1,4 @@
-"""Toxicity by a factorization machine over hashed terms."""
+"""Toxicity by a factorization machine over all hashed terms."""
 
 from __future__ import annotations
 
@@ -15,23 +15,27 @@ from lattica.llm.common import fold_of, materialize, table, text_batches
 
 #: Labelled rows that the machine learns from at most, the first by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Hashed terms that the machine holds at most, the training documents in which each must occur, and the standard
-#: errors by which its share must differ between the classes.
+#: Buckets that all terms are hashed into.
+BUCKETS = 1 << 18
+#: Terms of the narrow machine at most, the training documents in which each must occur, and the standard errors by
+#: which its share must differ between the classes.
 TERMS, LEAST_DOCS, LEAST_Z = 1024, 3, 4.0
+#: The part of the training documents by which the two machines are weighed, and the ridge of their weights.
+WEIGHED, RIDGE = 4, 1e-3
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.15, 1e-4
 THRESHOLD = 0.3
 CACHE = 300_000
 
 
-def term_hashes(text: str | None, cache: dict[str, int]) -> set[int]:
-    """crc32 of each distinct word, lower-cased; no words for null or empty."""
+def term_buckets(text: str | None, cache: dict[str, int]) -> set[int]:
+    """Buckets of the distinct words, lower-cased; no words for null or empty."""
     out = set()
     for word in set(re.findall(r"\w+", (text or "").lower())):
         h = cache.get(word)
         if h is None:
             if len(cache) > CACHE:
                 cache.clear()
-            h = cache[word] = crc32(word.encode("utf-8", "surrogatepass"))
+            h = cache[word] = crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         out.add(h)
     return out
 
@@ -39,7 +43,7 @@ def term_hashes(text: str | None, cache: dict[str, int]) -> set[int]:
 def _training_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache: dict[str, int] = {}
     for pdf in batches:
-        yield pd.DataFrame({"label": pdf["label"], "terms": [sorted(term_hashes(t, cache)) for t in pdf["text"]]})
+        yield pd.DataFrame({"label": pdf["label"], "held": pdf["held"], "terms": [np.array(sorted(term_buckets(t, cache)), np.int32).tobytes() for t in pdf["text"]]})
 
 
 def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, width: int) -> dict:
@@ -57,7 +61,7 @@ def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, width: int) ->
             of = np.repeat(np.arange(len(rows)), sizes)
             at = index[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(indptr[rows], sizes)]
             sums = _sums(v[at], of, len(rows))
-            p = 1 / (1 + np.exp(-(b + np.bincount(of, w[at], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (v[at] ** 2).sum(1), len(rows))))))
+            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(of, w[at], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (v[at] ** 2).sum(1), len(rows))), -30, 30)))
             err = (p - label[rows]) / len(rows)
             used, inverse = np.unique(at, return_inverse=True)
             g = np.bincount(inverse, err[of], len(used)) + DECAY * w[used]
@@ -75,66 +79,115 @@ def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(of, values[:, f], n) for f in range(values.shape[1])], axis=1)
 
 
+def _logits(index: np.ndarray, of: np.ndarray, n: int, model: dict) -> np.ndarray:
+    w, v = model["w"], model["v"]
+    pairs = (_sums(v[index], of, n) ** 2).sum(1) - np.bincount(of, (v[index] ** 2).sum(1), n) if len(of) else np.zeros(n)
+    return np.clip(model["b"] + np.bincount(of, w[index], n) + 0.5 * pairs, -30, 30)
+
+
+def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    return indptr, np.concatenate([np.zeros(0, np.int32), *lists])
+
+
+def _machines(lists: list[np.ndarray], label: np.ndarray, width: int) -> list[dict]:
+    """A narrow machine of the terms that differ most between the classes by themselves, and a wide one of all terms."""
+    indptr, index = _rows(lists)
+    n, n1 = len(label), label.sum()
+    of = np.repeat(np.arange(n), np.diff(indptr))
+    df, df1 = np.bincount(index, minlength=width), np.bincount(index, label[of], width)
+    mean = df / n
+    z = np.abs((df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / (n - n1)) + 1e-12)).round(9)
+    z[df < LEAST_DOCS] = 0
+    best = np.argsort(-z, kind="stable")[:TERMS]
+    held = np.zeros(width, bool)
+    held[best[z[best] >= LEAST_Z]] = True
+    narrow = fit(*_rows([x[held[x]] for x in lists]), label, width)
+    narrow["v"][~held] = 0
+    return [narrow, fit(indptr, index, label, width)]
+
+
+def _weigh(logits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Bias and weights, none below 0, of the machines' logits: a logistic regression with a small ridge, by Newton."""
+
+    def loss(x: np.ndarray, c: np.ndarray) -> float:
+        at = x @ c
+        return float((np.logaddexp(0, at) - label * at).sum() + 0.5 * RIDGE * (c**2).sum())
+
+    found = [(np.inf, np.array([0, 1.0, 0]))]
+    for used in ([0, 1], [0], [1]):
+        x = np.column_stack([np.ones(len(label)), logits[:, used]])
+        c = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -500, 500)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(c)), x.T @ (p - label) + RIDGE * c)
+            size = 1.0
+            while size > 1e-6 and loss(x, c - size * step) > loss(x, c):
+                size /= 2
+            c = c - size * step
+        if (c[1:] >= 0).all():
+            out = np.zeros(3)
+            out[[0, *(1 + k for k in used)]] = c
+            found.append((loss(x, c), out))
+    return min(found, key=lambda f: f[0])[1]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Learn from labelled documents outside fold 2 of 4: {hash: index}, bias, weights and factors.
+    """Learn from labelled documents outside fold 2 of 4: index by bucket, bias, weights and factors.
 
-    The labelled sample has at most TRAIN_ROWS ids, so it may be broadcast, and only its texts are split into terms.
-    Its TERMS hashed terms that differ most between the classes make the machine. A null label or id is no label; an
-    id with several labels is toxic if one of them says so.
+    The labelled sample has at most TRAIN_ROWS ids, so it may be broadcast, and only its texts are split into terms;
+    their buckets come to the driver. All terms of the sample are learned from, so that pairs of terms count that differ
+    in no class by themselves. As many rare terms fit noise, a narrow machine is fitted too, and the two are weighed by
+    documents held out of both, then fitted again on all: their sum is one machine, of the factors of both. A null label
+    or id is no label; an id with several labels is toxic if one of them says so.
     """
     spark = docs.sparkSession
     text_batches(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "toxic-sample")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")
-    terms = materialize(texts.mapInPandas(_training_terms, "label int, terms array<bigint>"), "toxic-terms")
-    n, n1 = terms.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    n0 = n - n1
-    if not n or not n1 or not n0:
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    # Held out by id, as fold 2 is.
+    texts = texts.select("text", "label", (F.floor(fold_of(F.col("doc_id"), 4 * WEIGHED) / 4) == 0).alias("held"))
+    rows = materialize(texts.mapInPandas(_training_terms, "label int, held boolean, terms binary"), "toxic-terms").collect()
+    rows = sorted((r["label"], bytes(r["terms"]), r["held"]) for r in rows)
+    label = np.array([r[0] for r in rows], float)
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[1], np.int32) for r in rows)]))
+    index = np.full(BUCKETS, -1, np.int32)
+    n, n1 = len(label), label.sum()
+    if not 0 < n1 < n:
         share = float(np.clip(n1 / n if n else 0.5, 0.01, 0.99))
-        return {"index": {}, "b": float(np.log(share / (1 - share))), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    counts = terms.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("df1"))
-    mean = F.col("df") / n
-    z = (F.col("df1") / n1 - (F.col("df") - F.col("df1")) / n0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-12)
-    best = counts.filter((F.col("df") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).orderBy(F.round(F.abs(z), 9).desc(), "term").limit(TERMS).select("term")
-    held = sorted(r[0] for r in best.collect())
-    chosen = F.array(*[F.lit(h).cast("long") for h in held]) if held else F.array().cast("array<bigint>")
-    rows = terms.select("label", F.sort_array(F.array_intersect("terms", chosen)).alias("terms")).toPandas()
-    index = {h: i for i, h in enumerate(held)}
-    rows["key"] = [tuple(t) for t in rows["terms"]]
-    rows = rows.sort_values(["label", "key"], kind="stable")
-    lists = [[index[h] for h in t] for t in rows["key"]]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(indptr[-1]))
-    return {"index": index} | fit(indptr, flat, rows["label"].to_numpy(float), len(held))
+        return {"index": index, "b": float(np.log(share / (1 - share))), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
+    index[used] = np.arange(len(used))
+    lists = [index[np.frombuffer(r[1], np.int32)] for r in rows]
+    held = np.array([r[2] for r in rows])
+    weights = np.array([0, 0.5, 0.5])
+    if all(0 < label[k].sum() < k.sum() for k in (held, ~held)):
+        machines = _machines([x for x, k in zip(lists, held, strict=True) if not k], label[~held], len(used))
+        indptr, at = _rows([x for x, k in zip(lists, held, strict=True) if k])
+        of = np.repeat(np.arange(held.sum()), np.diff(indptr))
+        weights = _weigh(np.column_stack([_logits(at, of, held.sum(), m) for m in machines]), label[held])
+    machines = _machines(lists, label, len(used))
+    b = weights[0] + sum(c * m["b"] for c, m in zip(weights[1:], machines, strict=True))
+    w = sum(c * m["w"] for c, m in zip(weights[1:], machines, strict=True))
+    v = np.hstack([np.sqrt(c) * m["v"] for c, m in zip(weights[1:], machines, strict=True)])
+    return {"index": index, "b": float(b), "w": w.astype(np.float32), "v": v.astype(np.float32)}
 
 
 def scores(texts: list[str | None], model: dict, cache: dict[str, int]) -> np.ndarray:
-    """Probability of label 1 for each text; the cache holds the machine's index of a word, or -1."""
-    index, lists = model["index"], []
+    """Probability of label 1 for each text; the cache holds the buckets of words."""
+    lists = []
     for text in texts:
-        own = set()
-        for word in set(re.findall(r"\w+", (text or "").lower())):
-            i = cache.get(word)
-            if i is None:
-                if len(cache) > CACHE:
-                    cache.clear()
-                i = cache[word] = index.get(crc32(word.encode("utf-8", "surrogatepass")), -1)
-            if i >= 0:
-                own.add(i)
-        lists.append(sorted(own))
-    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    at = np.fromiter((i for x in lists for i in x), np.int64, len(of))
-    w, v, n = model["w"], model["v"], len(lists)
-    pairs = (_sums(v[at], of, n) ** 2).sum(1) - np.bincount(of, (v[at] ** 2).sum(1), n) if len(of) else np.zeros(n)
-    return 1 / (1 + np.exp(-np.clip(model["b"] + np.bincount(of, w[at], n) + 0.5 * pairs, -30, 30)))
+        at = model["index"][np.array(sorted(term_buckets(text, cache)), np.int64)]
+        lists.append(at[at >= 0])
+    _, at = _rows(lists)
+    return 1 / (1 + np.exp(-_logits(at, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), len(lists), model)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of docs, with score and predicted (columns of these names are replaced), without a shuffle.
 
-    Null and empty texts get the score of no terms. The model is bounded by TERMS.
+    Null and empty texts get the score of no terms. The model is bounded by BUCKETS.
     """
     spark = docs.sparkSession
     text_batches(spark)

@@ -102,6 +102,19 @@ def test_factorization_learns_a_pair():
     assert model["v"][0] @ model["v"][1] > 1
 
 
+def test_training_learns_pairs_of_terms_that_differ_by_no_class(spark):
+    """Through train() and score(): terms of small |z| alone, toxic together or apart, among other words."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (4000, 2))
+    texts = [" ".join([*(w for w, k in zip(("one", "two"), row, strict=True) if k), f"other{rng.integers(50)}"]) for row in x]
+    y = [int(row[0] == row[1]) for row in x]
+    labels = spark.createDataFrame([(i, 0, k) for i, k in enumerate(y)], "doc_id bigint, quality int, toxic int")
+    d = docs(spark, list(enumerate(texts)))
+    out = toxicity.score(d, toxicity.train(d, labels)).select("doc_id", "predicted").collect()
+    held = [r for r in out if crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([r["predicted"] == y[r["doc_id"]] for r in held]) > 0.99
+
+
 def test_scores_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, 1), (6, 1, 0), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
     for labels_ in (labels, labels.limit(0)):
