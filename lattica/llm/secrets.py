@@ -33,6 +33,9 @@ BASE64 = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{%d,}={0,2}" % LEAST_BASE6
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A mark of layers left wrapped among the kinds, and the lines of a text whose escapes are left.
+REFUSED = -1
+ESCAPED_LINE = re.compile(r"(?m)^.*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}).*$")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 
@@ -96,10 +99,13 @@ def _member(new: Callable, raw: bytes, most: int) -> tuple[bytes, bytes, bool]:
 
 
 class Unpacker:
-    """Unwraps compressed bytes by their magic numbers, within one document's allowance; cut counts what it refused."""
+    """Unwraps compressed bytes by their magic numbers, within one document's allowance.
+
+    cut counts what it refused, and refused has the spans of it in the document, as findings have them.
+    """
 
     def __init__(self, room: int):
-        self.room, self.cut, self.known = room, 0, {}
+        self.room, self.cut, self.known, self.refused = room, 0, {}, []
 
     def takes(self, size: int) -> bool:
         fits = size <= self.room
@@ -120,19 +126,22 @@ class Unpacker:
             raw = after.lstrip(b"\0")
         return b"".join(out), raw
 
-    def texts(self, raw: bytes) -> list[str]:
-        """raw as texts, unwrapped until nothing is compressed: what streams hold, and what is beside them."""
+    def texts(self, raw: bytes) -> list[str | None]:
+        """raw as texts, unwrapped until nothing is compressed: what streams hold, and what is beside them; None if refused."""
         out, seen, work = [], {raw}, [raw]
         while work:
             inside, rest = self._inside(work.pop())
             if rest:
                 out.append(_text(rest))
-            if inside and inside not in seen and self.takes(len(inside)):
-                seen.add(inside)
-                work.append(inside)
+            if inside and inside not in seen:
+                if self.takes(len(inside)):
+                    seen.add(inside)
+                    work.append(inside)
+                else:
+                    out.append(None)
         return out
 
-    def run(self, core: str) -> list[str]:
+    def run(self, core: str) -> list[str | None]:
         """The texts in a base64 run without padding; the layers of a text repeat its runs, and each is unwrapped once."""
         if core not in self.known:
             # One character over stands for no byte.
@@ -217,11 +226,11 @@ def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
                 yield lines[k][0], m.end() if to == len(lines) else lines[to - 1][0] + len(lines[to - 1][1]), core
 
 
-def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, Origin | None]]:
+def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str | None, Origin | None]]:
     """(start, end, decoded, origin): the whole text without URL escapes, without Unicode escapes, and each base64 run.
 
     Text around an escape stays with it, as a finding may reach over both. origin has the place of each decoded
-    character and of the end; None if they stand for the run as a whole.
+    character and of the end; None if they stand for the run as a whole. decoded is None if it was refused.
     """
     if "%" in text and (more := _decoded(text, URL_ESCAPES, _url)):
         yield 0, len(text), *more
@@ -229,7 +238,7 @@ def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str, Origin
         yield 0, len(text), *more
     for start, end, core in base64_runs(text):
         for out in unpack.run(core):
-            if out:
+            if out != "":
                 yield start, end, out, None
 
 
@@ -237,7 +246,7 @@ def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int
     """(base, all) spans of a text; a finding in a layer has the span that the layer's characters stand for.
 
     A worklist unwraps every different layer once, until none is new, so cycles end. An allowance bounds what layers add
-    up to, against texts made to unpack without end. Findings are then carried outwards, to all places a layer is
+    up to, against texts made to unpack without end; what it refuses is known by its spans. Both are then carried outwards, to all places a layer is
     wrapped in, until no text gets a new one.
     """
     base = base_spans(text)
@@ -246,8 +255,12 @@ def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int
     while work:
         layer = work.pop()
         for start, end, inner, origin in layers(layer, unpack):
+            if inner is None:
+                found[layer].add((start, REFUSED, end))
+                continue
             if inner not in found:
                 if not unpack.takes(len(inner)):
+                    found[layer] |= {(start, REFUSED, end)} if origin is None else {(m.start(), REFUSED, m.end()) for m in ESCAPED_LINE.finditer(layer)}
                     continue
                 found[inner] = set(base_spans(inner))
                 work.append(inner)
@@ -260,7 +273,8 @@ def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int
             if new:
                 found[layer] |= new
                 work.append(layer)
-    return base, sorted(found[text])
+    unpack.refused = sorted(s for s in found[text] if s[1] == REFUSED)
+    return base, sorted(s for s in found[text] if s[1] != REFUSED)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
@@ -280,7 +294,8 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """All columns of docs, with found: counts of base kinds, base and spans as text, the redacted text, and n_cut.
 
-    n_cut counts the layers left wrapped, as all of their document would exceed its allowance.
+    n_cut counts the layers left wrapped, as all of their document would exceed its allowance. They are redacted too:
+    a base64 run, or the lines with escapes.
 
     Spans are kind:start:end by start, then kind, then end, in code points, the end exclusive. Null counts as empty;
     ties and repeated rows are rows of their own; an empty table gives no rows. A column named found is replaced.
@@ -294,8 +309,8 @@ def scan(docs: DataFrame) -> DataFrame:
         spans = [all_spans(t, u) for t, u in zip(whole, unpackers, strict=True)]
         out = {f"n_{name}": [sum(x[1] == k for x in base) for base, _ in spans] for k, name in enumerate(KINDS)}
         out |= {"base": [_named(b) for b, _ in spans], "spans": [_named(s) for _, s in spans]}
-        # Only texts with a finding travel back.
-        out["redacted"] = [redact(t, s) if s else None for t, (_, s) in zip(whole, spans, strict=True)]
+        # Only texts with a finding or a refused layer travel back.
+        out["redacted"] = [redact(t, [*s, *u.refused]) if s or u.refused else None for t, (_, s), u in zip(whole, spans, unpackers, strict=True)]
         out["n_cut"] = [u.cut for u in unpackers]
         return pd.DataFrame(out).astype({name: "int64" for name in out if name.startswith("n_")})
 

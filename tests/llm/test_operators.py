@@ -301,6 +301,22 @@ def test_unpacking_has_an_allowance():
     assert secrets.all_spans(text, tight)[1] == [] and tight.cut == 1
 
 
+def test_copies_cost_nothing_and_refused_layers_are_redacted():
+    big = base64.b64encode(gzip.compress(b"password=Zx81kfQp02mmAA " + b"word " * 400_000, mtime=0)).decode()
+    text = " , ".join([big] * 9)
+    room = secrets.Unpacker(5 << 20)
+    assert len(secrets.all_spans(text, room)[1]) == 9 and room.cut == 0 and room.refused == []
+    tight = secrets.Unpacker(1 << 20)
+    found = secrets.all_spans(text, tight)[1]
+    assert found == [] and secrets.redact(text, tight.refused) == " , ".join(["[SECRET]"] * 9)
+    nested = base64.b64encode(big.encode()).decode()
+    tight = secrets.Unpacker(1 << 20)
+    assert secrets.all_spans(f"a {nested} b", tight)[1] == [] and tight.refused == [(2, secrets.REFUSED, 2 + len(nested))]
+    tight = secrets.Unpacker(10)
+    text = "clear\n\\u0070assword = hunter2hunter2\n; clear"
+    assert secrets.all_spans(text, tight)[1] == [] and secrets.redact(text, tight.refused) == "clear\n[SECRET]\n; clear"
+
+
 def test_secret_cycles_end_and_words_are_left_alone(spark):
     assert secrets.all_spans("%25" * 40 + " " + "QUJD" * 30)[1] == []
     out = secrets.scan(docs(spark, [*ODD, (8, "AKIAABCDEFGHIJKL0")])).select("doc_id", "found.*").collect()
