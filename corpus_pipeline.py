@@ -1,7 +1,6 @@
 """A training corpus from documents, in five stages, each written as Parquet and read again.
 
-doc_id identifies a document: rows that share one are kept or dropped together. A stage keeps rows with a null id
-unless their text is rejected or repeats a document that has one.
+Each row is kept or dropped by its own text: rows of one doc_id and text together, rows with a null id as any other.
 """
 
 from __future__ import annotations
@@ -15,9 +14,14 @@ from lattica.llm.common import materialize, sized, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows whose doc_id is not among ids; a null id is among none."""
-    return docs.join(sized(materialize(ids.filter("doc_id is not null").distinct(), name)), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row, the key of id and text."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Rows of keyed docs whose key is not among rows."""
+    return docs.join(sized(materialize(rows.distinct(), name)), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +31,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates."""
-    classes = probminhash.near_duplicates(docs)
-    return _without(docs, classes.filter("doc_id <> class_id").select("doc_id"), "stage-duplicates")
+    """The document with the least id of each class of near duplicates; one without an id only if none has one."""
+    docs = _keyed(docs)
+    classes = probminhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id").distinct()
+    rows = materialize(classes.join(docs.select("row", "doc_id").distinct(), "row"), "stage-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = materialize(rows.groupBy("class_id").agg(first.alias("first")).select("first.row"), "stage-kept")
+    return _without(docs, rows.select("row").join(sized(kept), "row", "left_anti"), "stage-duplicates")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are benchmark passages."""
-    found = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated").select("doc_id"), "stage-contaminated")
+    docs = _keyed(docs)
+    found = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=("row",))
+    return _without(docs, found.filter("contaminated").select("row"), "stage-contaminated")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes words of, with their complete epochs and the words taken."""
-    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = _keyed(docs)
     taken = mixing.mix(docs, carry=("row",)).filter("taken > 0").select("row", "size", "target", "epochs", "taken")
     return docs.join(taken.dropDuplicates(["row"]), "row").drop("row")
 

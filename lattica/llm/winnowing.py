@@ -48,7 +48,7 @@ def _hashed(df: DataFrame, key: str, *more: str) -> DataFrame:
     return df.select(key, *more, words_of(F.col("text")).alias("words")).select(key, *more, F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Two texts that share `window` consecutive words share a winnowed fingerprint, so the join of fingerprints loses no
@@ -58,11 +58,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     Nulls: a null text has no words; a null item_id is left out of items_sha256 and n_items; rows that share a doc_id
     are told apart by their text. Empty tables give no rows, or documents without hits. Ties: none.
 
-    Window hashes have 64 bits. Nothing is collected but the distinct lengths of short items.
+    Columns of docs named in carry come last. Window hashes have 64 bits. Nothing is collected but the distinct lengths of short items.
     """
     key = "doc_key"
     # Two keys keep repeated ids apart without a shuffle of texts.
-    source = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias(key))
+    source = docs.select(F.col("doc_id"), F.col("text"), *carry, F.xxhash64("doc_id", "text").alias(key))
     items = materialize(_hashed(benchmark.select("item_id", "text"), "item_id").filter("n_words > 0"), "winnow-items")
     short = [r[0] for r in items.filter(F.col("n_words") < window).select("n_words").distinct().collect()]
 
@@ -102,7 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     in_doc = hits.select(key, "length", "h").distinct().join(item_windows, ["length", "h"]).select(key, "item_id").distinct()
     in_doc = in_doc.filter("item_id is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
     marked = materialize(spans.join(in_doc, key, "left"), "winnow-marked")
-    counted = source.select("doc_id", key, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = source.select("doc_id", key, *carry, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit, items_ = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(sized(marked), key, "left").select(
         "doc_id",
@@ -111,6 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         F.size(items_).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        *carry,
     )
 
 

@@ -42,3 +42,17 @@ def test_stages_survive_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, SMALL)
             assert out.count() <= frame.count()
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    """Rows with a null id are judged as others are, and rows that share an id are judged apart."""
+    passage = max((r[0] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("text").collect()), key=lambda t: len(t or ""))
+    clean, other, copied = ("".join(f"{name}{k} " for k in range(60)) for name in ("clean", "other", "copied"))
+    rows = [(None, passage), (1, passage), (1, clean), (2, copied), (None, copied), (3, copied), (3, other), (None, "no id " + other[:40])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    def left(out):
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, SMALL)) == sorted((r for r in rows if r[1] != passage), key=str)
+    assert left(corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)) == sorted([r for r in rows if r not in ((None, passage), (None, copied), (3, copied))], key=str)
