@@ -17,18 +17,23 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset and Spark is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/checkpoints/lattica-{os.getpid()}"
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders by the columns in by, and read it back.
+
+    Cuts lineage and survives lost executors.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
