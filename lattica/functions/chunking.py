@@ -16,6 +16,9 @@ RAG_TOKENS, RAG_OVERLAP = 800, 100
 HEADING = re.compile(r"(?m)(?=^#{1,6}\s+)")
 PARAGRAPH = re.compile(r"\n\s*\n+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
+#: The plain retrieval baseline ends sentences at full-width marks too, and parts paragraphs at one blank line.
+SENTENCE_RAG = re.compile(r"(?<=[.!?。！？])\s+")
+PARAGRAPH_RAG = re.compile(r"\n\s*\n")
 SENTENCE_MULTILINGUAL = re.compile(r"(?<=[.!?。])(?=\s)|(?<=[다요까])(?=\s)")
 TOKEN = re.compile(r"\s*\w+|\s*[^\w\s]|\s+")
 
@@ -80,11 +83,12 @@ def chunk_text(text: str, tokens=None, *, budget: int = EXTRACT_TOKENS, overlap_
         if count(section) <= budget:
             units.append(section)
             continue
-        for paragraph in paragraphs(section):
-            if count(paragraph) <= budget:
-                units.append(paragraph)
+        # The paragraphs of a section are packed by themselves first; only one too large by itself is cut.
+        for packed in pack(paragraphs(section), budget, count):
+            if count(packed) <= budget:
+                units.append(packed)
                 continue
-            for piece in pack(sentences(paragraph), budget, count):
+            for piece in pack(sentences(packed), budget, count):
                 units += [piece] if count(piece) <= budget else slices(piece, budget, tokens)
     pieces, last = pack(units, budget, count), int(budget * overlap_ratio)
     return pieces[:1] + [_after(tokens.decode(tokens.encode(a)[-last:]) if last else "", b) for a, b in zip(pieces, pieces[1:], strict=False)]
@@ -118,7 +122,8 @@ def chunk_for_rag(text: str, tokens=None, *, budget: int = RAG_TOKENS, overlap:
     count = lambda t: len(tokens.encode(t))
     if not text.strip():
         return []
-    units = [u for p in paragraphs(text) for u in (sentences(p) if count(p) > budget else [p])]
+    parts = lambda pattern, t: [p.strip() for p in pattern.split(t) if p.strip()]
+    units = [u for p in parts(PARAGRAPH_RAG, text) for u in (parts(SENTENCE_RAG, p) if count(p) > budget else [p])]
     chunks: list[str] = []
     held: list[str] = []
     for unit in [*units, None]:
@@ -133,6 +138,30 @@ def chunk_for_rag(text: str, tokens=None, *, budget: int = RAG_TOKENS, overlap:
     return chunks[:1] + [_after(tokens.decode(tokens.encode(a)[-overlap:]) if overlap else "", b) for a, b in zip(chunks, chunks[1:], strict=False)]
 
 
+class Encoding:
+    """Tokens of a tiktoken encoding read from a vocabulary file, where one is at hand; the file is named by the caller."""
+
+    def __init__(self, path: str, pattern: str, special: dict[str, int] | None = None):
+        self.path, self.pattern, self.special, self._made = path, pattern, special or {}, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def _encoding(self):
+        if self._made is None:
+            import tiktoken
+            from tiktoken.load import load_tiktoken_bpe
+
+            self._made = tiktoken.Encoding(self.path, pat_str=self.pattern, mergeable_ranks=load_tiktoken_bpe(self.path), special_tokens=self.special)
+        return self._made
+
+    def encode(self, text: str) -> list[int]:
+        return self._encoding().encode(text, disallowed_special=())
+
+    def decode(self, tokens: list[int]) -> str:
+        return self._encoding().decode(tokens)
+
+
 def chunks(docs: DataFrame, how: Callable[..., list[str]] = chunk_text, **options) -> DataFrame:
     """doc_id, chunk_index, total_chunks, text for each chunk of each document; null texts count as empty."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -41,7 +41,8 @@ def normalize(text: Column, *, unicode: bool = True) -> Column:
     unicode=False stays in the JVM and is exact for texts that are in NFC already.
     """
     t = F.coalesce(text, F.lit(""))
-    t = nfc(t) if unicode else t
+    # Texts of ASCII are in NFC; what is passed for them is null, which costs Python next to nothing.
+    t = F.coalesce(nfc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t) if unicode else t
     t = F.regexp_replace(F.lower(t), _SPACE, " ")
     t = F.btrim(F.btrim(t), F.lit(TRIM_CHARS))
     return F.btrim(t)
@@ -98,9 +99,41 @@ def head_lines(text: Column, lines: int = 60) -> Column:
     return F.array_join(F.slice(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"), 1, lines), "\n")
 
 
-def lenient_json(text: Column) -> Column:
-    """The body of a fenced JSON answer."""
-    return F.regexp_replace(F.regexp_replace(F.btrim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+def lenient_json(text: Column, schema: str | None = None) -> Column:
+    """The body of a fenced JSON answer; with a schema, what it says in it, null where it is no such JSON."""
+    body = F.regexp_replace(F.regexp_replace(F.btrim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return body if schema is None else F.from_json(body, schema)
+
+
+def keywords(text: Column) -> Column:
+    """All keywords of a text as they occur: capitalised Latin words and runs of Hangul, without the trivial ones."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD))
+    return F.filter(found, lambda k: ~k.isin(TRIVIAL))
+
+
+def top_keywords(docs: DataFrame, most: int = 6, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, keyword, n: the commonest keywords of each text, equally common ones by name."""
+    found = docs.select(key, F.explode(keywords(F.col(text))).alias("keyword"))
+    ranked = Window.partitionBy(key).orderBy(F.col("n").desc(), "keyword")
+    return found.groupBy(key, "keyword").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= most).drop("k")
+
+
+def source_ref_union(a: Column, b: Column) -> Column:
+    """Both lists of (source_path, chunk_index, ...), the first of each source and chunk."""
+    key = lambda r: F.concat(r["source_path"], F.lit("\x00"), F.coalesce(r["chunk_index"].cast("string"), F.lit("")))
+    both = F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array()))
+    keys = F.transform(both, key)
+    return F.filter(F.transform(both, lambda r, i: F.when(F.array_position(keys, key(r)) == i + 1, r)), lambda r: r.isNotNull())
+
+
+def clamp(text: Column, most: int) -> Column:
+    """At most the first characters; null stays null."""
+    return F.left(text, F.lit(most))
+
+
+def price_key(model: Column) -> Column:
+    """The second name that a model's price is looked up by: that of its default vendor, if it names none."""
+    return F.when(~model.contains("/"), F.concat(F.lit("openai/"), model))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -112,3 +145,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def fingerprint(prompt: Column, schema: Column, model: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x00", prompt, schema, model).cast("binary"), 256), 1, 16)
+
+
+def extractor_version(pipeline: int, prompt: Column, schema: Column, model: Column) -> Column:
+    """p, the pipeline's number, and the fingerprint of what the extractor is asked."""
+    return F.concat(F.lit(f"p{pipeline}:"), fingerprint(prompt, schema, model))

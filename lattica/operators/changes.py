@@ -7,13 +7,10 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.sources.store import SnapshotStore
-
 PLAN_SECONDS = 3600
 RUN_KEY = ["namespace_id", "source_path", "source_hash", "extractor_version"]
 
@@ -45,6 +42,22 @@ def trim(rows: DataFrame, lost: DataFrame, key: str = "id") -> DataFrame:
     return out.withColumn("op", op).drop("lost", "source_paths").withColumnRenamed("left", "source_paths")
 
 
+def trim_refs(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """trim for rows whose sources are source_refs (source_path, ...): op, and the refs that are left."""
+    paths = lost.groupBy("id").agg(F.collect_set("source_path").alias("lost"))
+    out = rows.join(paths, "id", "left")
+    refs = F.filter(F.coalesce("source_refs", F.array().cast(rows.schema["source_refs"].dataType)), lambda r: ~F.array_contains(F.col("lost"), r["source_path"]))
+    out = out.withColumn("source_refs", F.when(F.col("lost").isNull(), F.col("source_refs")).otherwise(refs))
+    op = F.when(F.col("lost").isNull(), "keep").when(F.size("source_refs") == 0, "delete").otherwise("trim")
+    return out.withColumn("op", op).drop("lost")
+
+
+def append_emitted(links: DataFrame, run_id: str, ids: list[str], key: str) -> DataFrame:
+    """The bridge of runs and what they emitted (run_id, key), with more of a run; what it has already is not repeated."""
+    more = links.sparkSession.createDataFrame([(run_id, i) for i in ids], f"run_id string, {key} string")
+    return links.select("run_id", key).unionByName(more).distinct()
+
+
 def apply_diff(entities: DataFrame, relations: DataFrame, lost_entities: DataFrame, lost_relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after a difference: relations first, then entities, with the relations of deleted ones."""
     kept = trim(relations, lost_relations).filter("op <> 'delete'").drop("op")
@@ -78,58 +91,37 @@ def move_endpoint(relations: DataFrame, relation_ids: list[str], old: str, new:
     return rows.groupBy("from_id", "type", "to_id").agg(F.min("id").alias("id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_paths")))).alias("source_paths"))
 
 
-@dataclass
-class Plan:
-    """A change set that waits for review: (op, kind, id, payload) rows over a base version."""
-
-    base: int
-    tables: dict[str, DataFrame]
-    changes: DataFrame
-    questions: list[str] = field(default_factory=list)
-    merge_targets: list[str] = field(default_factory=list)
-    previewed: bool = False
-    touched: float = field(default_factory=time.time)
-
-
 class Plans:
-    """Plans by id, forgotten after a while without use; a plan is applied only after its preview."""
+    """Plans by id, forgotten after a while without use; a plan is applied only after its preview.
+
+    A plan is anything with base, questions (each with an id) and decisions; `lattica.graph` plans batches and splits.
+    """
 
-    def __init__(self, store: SnapshotStore, seconds: float = PLAN_SECONDS):
-        self.store, self.seconds, self._held = store, seconds, {}
+    def __init__(self, seconds: float = PLAN_SECONDS):
+        self.seconds, self._held = seconds, {}
 
-    def add(self, plan: Plan) -> str:
-        key = uuid.uuid4().hex
-        self._held[key] = plan
+    def add(self, plan, key: str | None = None) -> str:
+        """Hold a plan, in place of the one of the same key; its preview has to be seen (again)."""
+        key = key or uuid.uuid4().hex
+        self._held[key] = [plan, False, time.time()]
         return key
 
-    def get(self, key: str) -> Plan:
-        plan = self._held.get(key)
-        if plan and 0 < self.seconds < time.time() - plan.touched:
-            plan = self._held.pop(key) and None
-        if plan is None:
+    def get(self, key: str):
+        held = self._held.get(key)
+        if held and 0 < self.seconds < time.time() - held[2]:
+            held = self._held.pop(key) and None
+        if held is None:
             raise KeyError(f"no plan {key}")
-        plan.touched = time.time()
-        return plan
-
-    def preview(self, key: str) -> DataFrame:
-        plan = self.get(key)
-        plan.previewed = True
-        return plan.changes.groupBy("kind", "op").agg(F.count("*").alias("n"))
-
-    def resolve(self, key: str, decisions: dict[str, str], replan) -> None:
-        """Plan again with decisions; the preview has to be seen again."""
-        plan = self.get(key)
-        if unknown := set(decisions) - set(plan.questions):
-            raise ValueError(f"unknown questions {sorted(unknown)}")
-        self._held[key] = replan(decisions)
-
-    def commit(self, key: str) -> int:
-        plan = self.get(key)
-        if not plan.previewed or plan.questions:
-            raise RuntimeError("the plan has not been previewed, or has open questions")
-        entities = self.store.read("entities")
-        if plan.merge_targets and (entities is None or entities.filter(F.col("id").isin(plan.merge_targets)).select("id").distinct().count() < len(set(plan.merge_targets))):
-            raise RuntimeError("a merge target is gone")
-        version = self.store.publish(plan.tables, plan.base)
-        del self._held[key]
-        return version
+        held[2] = time.time()
+        return held[0]
+
+    def saw(self, key: str) -> None:
+        self.get(key)
+        self._held[key][1] = True
+
+    def previewed(self, key: str) -> bool:
+        self.get(key)
+        return self._held[key][1]
+
+    def drop(self, key: str) -> None:
+        self._held.pop(key, None)

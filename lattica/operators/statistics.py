@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import identifier_aliases, is_self_reference, normalize
+from lattica.operators.traverse import degrees, namespace
 
 MAX_ALIASES, MAX_IDENTIFIERS, MAX_SAMPLES = 30, 2, 20
 
@@ -28,12 +29,24 @@ def relation_types(entities: DataFrame, relations: DataFrame, most: int = 5) ->
     return counted.withColumn("total", F.sum("n").over(by_type)).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
 
 
+def type_counts(entities: DataFrame) -> DataFrame:
+    """type, n: the commonest first, equally common ones by name."""
+    return entities.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type")
+
+
 def duplicate_names(entities: DataFrame) -> DataFrame:
     """normalized_name, n, first_id of names that several entities have; empty names don't count."""
-    named = entities.withColumn("normalized_name", normalize(F.col("name"), unicode=False)).filter("normalized_name <> ''")
+    named = entities.withColumn("normalized_name", normalize(F.col("name"))).filter("normalized_name <> ''")
     return named.groupBy("normalized_name").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
+def duplicate_members(entities: DataFrame, groups: DataFrame) -> DataFrame:
+    """normalized_name, ids, names, types of the given groups of duplicate_names, by id: for the samples of a report."""
+    named = entities.withColumn("normalized_name", normalize(F.col("name"))).join(F.broadcast(groups.select("normalized_name")), "normalized_name")
+    members = F.array_sort(F.collect_list(F.struct("id", "name", "type")))
+    return named.groupBy("normalized_name").agg(members.alias("m")).select("normalized_name", *[F.col(f"m.{n}").alias(f"{n}s") for n in ("id", "name", "type")])
+
+
 def overmerged(entities: DataFrame, *, max_aliases: int = MAX_ALIASES, max_identifiers: int = MAX_IDENTIFIERS) -> DataFrame:
     """id, name, reasons of entities that look like several: many aliases, many codes, or aliases that name nobody."""
     surfaces = F.concat(F.array("name"), F.col("aliases"))
@@ -60,3 +73,26 @@ def sampled(rows: DataFrame, order: str = "id", most: int = MAX_SAMPLES) -> tupl
     """Exact number, the first rows as samples, and whether some are left out."""
     n = rows.count()
     return n, rows.orderBy(order).limit(most), n > most
+
+
+def graph_health(entities: DataFrame, relations: DataFrame, namespace_id: str = "default", most: int = MAX_SAMPLES) -> dict:
+    """What is odd in a namespace: exact counts, at most `most` samples of each kind, and whether some are left out.
+
+    Degrees count relations within the namespace only.
+    """
+    mine = namespace(entities, namespace_id)
+    twins = sampled(duplicate_names(mine), "normalized_name", most)
+    over = sampled(overmerged(mine), "id", most)
+    alone = sampled(mine.join(degrees(relations, entities, namespace_id), "id", "left_anti"), "id", most)
+    return {
+        "namespace_id": namespace_id,
+        "entity_count": mine.count(),
+        "type_counts": [tuple(r) for r in type_counts(mine).collect()],
+        "duplicate_names": [r.asDict() for r in duplicate_members(mine, twins[1]).orderBy("normalized_name").collect()],
+        "duplicate_name_total": twins[0],
+        "overmerged": [(r["id"], r["name"], r["reasons"].split(";")) for r in over[1].collect()],
+        "overmerged_total": over[0],
+        "isolated": [(r["id"], r["name"], r["type"]) for r in alone[1].collect()],
+        "isolated_total": alone[0],
+        "truncated": twins[2] or over[2] or alone[2],
+    }

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import chunking, text
-from lattica.operators import changes, context, evaluation, identity, search, statistics, traverse
-from lattica.plans.stargraph import GRAPH_SQL, entities, relation_rows, relations, table
+from lattica.operators import changes, context, evaluation, identity, ingest, projections, search, statistics, traverse
+from lattica.plans.stargraph import GRAPH_SQL, entities, graph, relation_rows, relations, table
+from lattica.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, graph: bool = False):
+def query(sql: str | None = None, graph: bool = False):  # noqa: A002
     """Register a query under its function's name; graph puts the views of the star graph before its SQL."""
 
     def register(f):
@@ -50,10 +51,6 @@ def expand_sql(seeds: list[str], hops: int, most: int, direction: str = "both",
 SEEDS = ["S1", "S2", "S3"]
 
 
-def _graph(spark, sf_dir):
-    return entities(spark, sf_dir), relations(spark, sf_dir)
-
-
 # --- traversal ----------------------------------------------------------------------------------------------------
 
 
@@ -64,7 +61,7 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _neighbours(direction):
     def run(spark, sf_dir):
-        return traverse.expand(*_graph(spark, sf_dir), ["N1"], direction=direction, hops=1, max_nodes=100).nodes
+        return traverse.expand(graph(spark, sf_dir), ["N1"], direction=direction, hops=1, max_nodes=100).nodes
 
     run.__name__ = f"graph_neighbours_{direction}"
     return query(f", {expand_sql(['N1'], 1, 100, direction)} SELECT id, hop FROM v1", graph=True)(run)
@@ -76,17 +73,17 @@ for _direction in ("both", "outgoing", "incoming"):
 
 @query(f", {expand_sql(['O1', 'O2'], 2, 60)} SELECT id, hop FROM v2", graph=True)
 def graph_subgraph_nodes(spark, sf_dir):
-    return traverse.expand(*_graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60).nodes
+    return traverse.expand(graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60).nodes
 
 
 @query(f", {expand_sql(['O1', 'O2'], 2, 60)} SELECT id, type, from_id, to_id FROM s", graph=True)
 def graph_subgraph_edges(spark, sf_dir):
-    return traverse.expand(*_graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60).edges
+    return traverse.expand(graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60).edges
 
 
 @query(f", {expand_sql(['S1'], 3, 400, types=['supplied_by'])} SELECT id, hop FROM v3", graph=True)
 def graph_subgraph_typed(spark, sf_dir):
-    return traverse.expand(*_graph(spark, sf_dir), ["S1"], types=["supplied_by"], hops=3, max_nodes=400).nodes
+    return traverse.expand(graph(spark, sf_dir), ["S1"], types=["supplied_by"], hops=3, max_nodes=400).nodes
 
 
 @query(
@@ -100,7 +97,7 @@ SELECT id, round(total / (SELECT max(total) FROM k), 6) AS score, distance FROM
     graph=True,
 )
 def graph_related(spark, sf_dir):
-    return traverse.related(*_graph(spark, sf_dir), SEEDS, top_k=10, max_hops=2).withColumn("score", F.round("score", 6))
+    return traverse.related(graph(spark, sf_dir), SEEDS, top_k=10, max_hops=2).withColumn("score", F.round("score", 6))
 
 
 PATH_SQL = """, p AS (SELECT 'S1' AS node, ['S1'] AS nodes, []::VARCHAR[] AS edges, 0 AS n
@@ -116,7 +113,7 @@ def _paths(found: DataFrame) -> DataFrame:
 
 @query(PATH_SQL, graph=True)
 def graph_shortest_paths(spark, sf_dir):
-    return _paths(traverse.shortest_paths(relations(spark, sf_dir), "S1", "S2", max_hops=4, max_paths=5))
+    return _paths(traverse.shortest_paths(graph(spark, sf_dir), "S1", "S2", max_hops=4, max_paths=5))
 
 
 @query("SELECT id, 'outgoing' AS direction, type, count(*) AS n FROM (SELECT from_id AS id, type FROM r) GROUP BY ALL UNION ALL SELECT id, 'incoming', type, count(*) FROM (SELECT to_id AS id, type FROM r) GROUP BY ALL", graph=True)
@@ -126,7 +123,50 @@ def graph_edge_counts(spark, sf_dir):
 
 @query("SELECT id, type, from_id, to_id FROM r WHERE from_id = 'P7' OR to_id = 'P7'", graph=True)
 def graph_entity_relations(spark, sf_dir):
-    return relations(spark, sf_dir).filter("from_id = 'P7' or to_id = 'P7'").select("id", "type", "from_id", "to_id")
+    return traverse.entity_relations(graph(spark, sf_dir), "P7")
+
+
+def _apart(sql: str) -> str:
+    """expand_sql or other SQL over the graph whose nations and regions are a namespace of their own."""
+    return f", ns AS (SELECT id, CASE WHEN type IN ('nation', 'region') THEN 'places' ELSE 'default' END AS ns FROM e){sql}"
+
+
+@query(
+    _apart(", o AS (SELECT a.*, y.ns AS dns FROM a JOIN ns y ON y.id = dst), k AS (SELECT DISTINCT dst AS id FROM o JOIN ns x ON x.id = src WHERE src IN ('C1', 'S1') AND dns = 'default')")
+    + " SELECT id, 0 AS hop FROM e WHERE id IN ('C1', 'S1') UNION ALL SELECT id, 1 FROM k WHERE id NOT IN ('C1', 'S1')",
+    graph=True,
+)
+def graph_namespace_neighbours(spark, sf_dir):
+    """A hop that stays in its namespace: the nations of a customer and a supplier lie in another one."""
+    return traverse.expand(graph(spark, sf_dir, "places"), ["C1", "S1", "N1"], hops=1, max_nodes=5000).nodes
+
+
+@query(_apart(", o AS (SELECT a.*, y.ns AS dns FROM a JOIN ns y ON y.id = dst) SELECT DISTINCT dst AS id, 1 AS hop FROM o WHERE src = 'N1' AND dns = 'places' UNION ALL SELECT 'N1', 0"), graph=True)
+def graph_namespace_places(spark, sf_dir):
+    return traverse.expand(graph(spark, sf_dir, "places"), ["N1", "C1"], hops=1, max_nodes=5000, namespace_id="places").nodes
+
+
+@query(_apart(" SELECT src AS id, CASE WHEN r.from_id = src THEN 'outgoing' ELSE 'incoming' END AS direction, a.type, count(*) AS n FROM a JOIN r ON r.id = a.id JOIN ns y ON y.id = dst WHERE src IN ('S1', 'C1') AND y.ns = 'default' GROUP BY ALL"), graph=True)
+def graph_entity_counts(spark, sf_dir):
+    return traverse.entity_counts(graph(spark, sf_dir, "places"), ["S1", "C1", "N1"])
+
+
+@query(_apart(" SELECT z.id, count(*) AS degree FROM (SELECT unnest([from_id, to_id]) AS id FROM r JOIN ns x ON x.id = from_id JOIN ns y ON y.id = to_id WHERE x.ns = 'default' AND y.ns = 'default') z GROUP BY 1"), graph=True)
+def graph_health_degree(spark, sf_dir):
+    nodes = entities(spark, sf_dir).withColumn("namespace_id", F.when(F.col("type").isin("nation", "region"), "places").otherwise("default"))
+    return traverse.degrees(relations(spark, sf_dir), nodes)
+
+
+@query("SELECT id, left(name, 200) AS name, left(type, 64) AS type, left(description, 2000) AS description FROM e", graph=True)
+def projected_nodes(spark, sf_dir):
+    rows = entities(spark, sf_dir).withColumn("aliases", F.lit(None).cast("array<string>")).withColumn("source_refs", F.lit(None).cast(identity.SOURCE_REFS))
+    return projections.nodes(rows).select("id", "name", "type", "description")
+
+
+@query("SELECT id, from_id, to_id, type, 'star' AS source FROM r", graph=True)
+def projected_edges(spark, sf_dir):
+    rows = projections.edges(relations(spark, sf_dir).withColumn("source_paths", F.array(F.lit("star"))))
+    return rows.select("id", "from_id", "to_id", "type", F.element_at("source_refs", 1)["source_path"].alias("source"))
 
 
 @query("SELECT id, name, type FROM e WHERE type IN ('supplier', 'nation') ORDER BY id LIMIT 25 OFFSET 10", graph=True)
@@ -148,12 +188,17 @@ SELECT type, from_type, to_type, n, sum(n) OVER (PARTITION BY type)::BIGINT AS t
     graph=True,
 )
 def schema_relation_types(spark, sf_dir):
-    return statistics.relation_types(*_graph(spark, sf_dir))
+    return statistics.relation_types(entities(spark, sf_dir), relations(spark, sf_dir))
 
 
-@query("SELECT 'default' AS namespace_id, count(*) AS n FROM e", graph=True)
+@query("SELECT CASE WHEN type IN ('nation', 'region') THEN 'places' ELSE 'default' END AS namespace_id, count(*) AS n FROM e GROUP BY 1", graph=True)
 def count_by_namespace(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy("namespace_id").agg(F.count("*").alias("n"))
+    return graph(spark, sf_dir, "places").nodes.groupBy(F.col("ns").alias("namespace_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT type, count(*) AS n FROM e GROUP BY type", graph=True)
+def health_type_counts(spark, sf_dir):
+    return statistics.type_counts(entities(spark, sf_dir))
 
 
 @query("SELECT lower(name) AS normalized_name, count(*) AS n, min(id) AS first_id FROM e GROUP BY 1 HAVING count(*) > 1", graph=True)
@@ -163,14 +208,21 @@ def health_duplicate_names(spark, sf_dir):
 
 @query("SELECT id, type FROM e WHERE id NOT IN (SELECT id FROM g)", graph=True)
 def health_isolated(spark, sf_dir):
-    return statistics.isolated(*_graph(spark, sf_dir)).select("id", "type")
+    return statistics.isolated(entities(spark, sf_dir), relations(spark, sf_dir)).select("id", "type")
 
 
 @query(
-    """SELECT p_name AS id, p_name AS name, 'alias_count=' || count(*) || '>30' AS reasons FROM (SELECT DISTINCT p_name, p_brand || ' ' || p_type || ' ' || p_size AS alias FROM part) GROUP BY p_name HAVING count(*) > 30"""
+    """WITH p AS (SELECT p_name, p_size, p_brand || ' ' || p_type || ' ' || p_size AS alias, p_partkey FROM part),
+s AS (SELECT p_name, count(DISTINCT alias) AS n, count(DISTINCT CASE WHEN p_size = 50 THEN p_partkey END) AS k, max(CASE WHEN p_size = 1 THEN 1 ELSE 0 END) AS v FROM p GROUP BY p_name),
+f AS (SELECT p_name, n + k + v AS n, k AS c, v FROM s)
+SELECT p_name AS id, p_name AS name, concat_ws(';', CASE WHEN n > 30 THEN 'alias_count=' || n || '>30' END, CASE WHEN c > 2 THEN 'distinct_identifiers=' || c END, CASE WHEN v > 0 THEN 'non_identifying_aliases=' || v END) AS reasons FROM f WHERE n > 30 OR c > 2 OR v > 0"""
 )
 def health_overmerged(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy("p_name").agg(F.collect_set(F.concat_ws(" ", "p_brand", "p_type", "p_size")).alias("aliases"))
+    """Parts by name: their kinds are aliases, those of one size give codes, and one size an alias that names nobody."""
+    kind = F.concat_ws(" ", "p_brand", "p_type", "p_size")
+    code = F.when(F.col("p_size") == 50, F.concat(F.lit("PN"), (F.col("p_partkey") + 100000).cast("string")))
+    vague = F.when(F.col("p_size") == 1, F.lit("the Company"))
+    rows = table(spark, sf_dir, "part").select("p_name", F.explode(F.array_compact(F.array(kind, code, vague))).alias("alias")).groupBy("p_name").agg(F.collect_set("alias").alias("aliases"))
     return statistics.overmerged(rows.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), "aliases"))
 
 
@@ -215,21 +267,38 @@ def search_dense_typed(spark, sf_dir):
     return search.dense(*_vectors(spark, sf_dir), 5, same="label")
 
 
-@query()
-def search_fused(spark, sf_dir):
-    """Lexical hits on part names fused with dense hits of trigram vectors of the keywords."""
-    parts = _parts(spark, sf_dir)
-    vectors = identity.extract(parts.select(F.col("id").alias("doc_id"), F.col("name").alias("text")), identity.trigram_row, "vector array<double>").withColumnRenamed("doc_id", "id")
-    asked = spark.createDataFrame([(k, identity.trigram_embedding(k).tolist()) for k in KEYWORDS], "query string, vector array<double>")
-    near = search.dense(asked, vectors, 10).select("id", F.col("query").alias("matched_keyword"), F.greatest(F.lit(0.0), "similarity").alias("score"))
-    return search.fuse(search.bm25(parts, KEYWORDS, 10), near)
+FUSED_SQL = (
+    BM25_SQL.replace("SELECT id, matched_keyword, score FROM sc", ", b AS (SELECT id, matched_keyword, score FROM sc").replace("<= 10", "<= 20")
+    + """),
+kv AS (SELECT * FROM (VALUES ('red widget', 0), ('economy', 1), ('gear', 2)) AS t(matched_keyword, v)),
+dn AS (SELECT 'P' || d.vec_id AS id, matched_keyword, round(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings d JOIN part ON p_partkey = d.vec_id, kv JOIN embeddings q ON q.vec_id = v
+  QUALIFY row_number() OVER (PARTITION BY matched_keyword ORDER BY score DESC, 'P' || d.vec_id) <= 20),
+rk AS (SELECT *, 'lexical' AS list, row_number() OVER (PARTITION BY matched_keyword ORDER BY score DESC, id) AS r FROM b UNION ALL SELECT id, matched_keyword, greatest(0.0::DOUBLE, score), 'dense', row_number() OVER (PARTITION BY matched_keyword ORDER BY greatest(0.0::DOUBLE, score) DESC, id) FROM dn),
+bk AS (SELECT id, matched_keyword, sum(1.0::DOUBLE / (60 + r)) AS part, coalesce(max(CASE WHEN list = 'lexical' THEN score END), 0) AS lexical, coalesce(max(CASE WHEN list = 'dense' THEN score END), 0) AS dense FROM rk GROUP BY ALL),
+nd AS (SELECT id, sum(part) AS total FROM bk GROUP BY id),
+bs AS (SELECT * FROM bk JOIN kv USING (matched_keyword) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(part, 12) DESC, round(lexical + dense, 6) DESC, v) = 1),
+ok AS (SELECT nd.id, bs.matched_keyword, total, lexical, dense FROM nd JOIN bs USING (id) JOIN part ON 'P' || p_partkey = nd.id WHERE p_size > 10)
+SELECT id, matched_keyword, round(total / (SELECT max(total) FROM ok), 6) AS score, lexical, dense, (SELECT count(*) FROM ok) AS total FROM ok ORDER BY score DESC, id LIMIT 10 OFFSET 3"""
+)
+
 
+@query(FUSED_SQL, graph=True)
+def search_find_entities(spark, sf_dir):
+    """Lexical and dense hits fused, then a type, a total and a page: vectors of the table stand for those of parts and keywords."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    kinds = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.when(F.col("p_size") > 10, "large").otherwise("small").alias("type"))
+    parts = _parts(spark, sf_dir).drop("type").join(kinds, "id")
+    held = vectors.select(F.concat(F.lit("P"), "vec_id").alias("id"), "vector").join(kinds.select("id"), "id", "left_semi")
+    asked = [r["vector"] for r in vectors.filter(F.col("vec_id") < len(KEYWORDS)).orderBy("vec_id").collect()]
+    total, found = search.find_entities(parts, KEYWORDS, held, asked, types=["large"], limit=10, offset=3)
+    return found.withColumn("total", F.lit(total).cast("bigint"))
 
-@query("SELECT d.vec_id AS id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[])), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id = 0 AND d.label IN (1, 2) GROUP BY d.vec_id ORDER BY 2 DESC, 1 LIMIT 8")
+
+@query("SELECT q.vec_id AS query, d.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.label IN (1, 2) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, d.vec_id) <= 8")
 def search_restricted(spark, sf_dir):
-    """Dense search within given sources only (here: two labels)."""
+    """Dense search within given sources only (here: two labels), for the whole query set."""
     queries, rows = _vectors(spark, sf_dir)
-    return search.dense(queries.filter("query = 0"), rows.filter(F.col("label").isin(1, 2)), 8).select("id", F.col("similarity").alias("score"))
+    return search.dense(queries, rows.filter(F.col("label").isin(1, 2)), 8)
 
 
 CHUNK_KEYWORDS = [(1, "red widget"), (1, "gear"), (2, "economy"), (2, "gear"), (3, "")]
@@ -244,11 +313,16 @@ def context_known_entities(spark, sf_dir):
     return context.known_entities(spark.createDataFrame(CHUNK_KEYWORDS, "chunk int, keyword string"), _parts(spark, sf_dir))
 
 
-@query("SELECT source_path, arg_min(part, part * 100000 + position) AS part, arg_min(position, part * 100000 + position) AS position FROM (SELECT source AS source_path, 0 AS part, doc_id AS position FROM documents WHERE lang = 'de' UNION ALL SELECT source, 1, doc_id FROM documents) GROUP BY source_path")
+SOURCES_SQL = """WITH p AS (SELECT source AS source_path, 0 AS part, doc_id AS position FROM documents WHERE lang = 'de' AND doc_id % 3 = 0
+  UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT source, 2, doc_id FROM documents)
+SELECT source_path, arg_min(part, part * 10000000000 + position) AS part, arg_min(position, part * 10000000000 + position) AS position FROM p WHERE source_path IS NOT NULL GROUP BY source_path"""
+
+
+@query(SOURCES_SQL)
 def context_source_paths(spark, sf_dir):
-    """Sources of the documents in one language, then of all, by first mention."""
+    """Sources of nodes, then edges, then paths, by first mention; documents of some languages stand for them."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_path"), F.col("doc_id").alias("position"), "lang")
-    return context.source_paths(docs.filter("lang = 'de'"), docs)
+    return context.source_paths(docs.filter("lang = 'de' and position % 3 = 0"), docs.filter("lang = 'fr'"), docs)
 
 
 @query("SELECT q.vec_id AS query, d.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity, 'sources' AS reason FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.label = 1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, d.vec_id) <= 8 + 4")
@@ -268,7 +342,7 @@ UNION ALL SELECT 'edges', s.id, '- ' || a.display || ' --' || s.type || '--> ' |
 )
 def context_graph_blocks(spark, sf_dir):
     """The nodes and relations of a bounded search as text."""
-    found = traverse.expand(*_graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60)
+    found = traverse.expand(graph(spark, sf_dir), ["O1", "O2"], hops=2, max_nodes=60)
     refs = "array<struct<source_path:string,chunk_index:int>>"
     nodes = entities(spark, sf_dir).join(F.broadcast(found.nodes), "id").withColumn("aliases", F.array().cast("array<string>")).withColumn("source_refs", F.lit(None).cast(refs))
     return context.graph_blocks(nodes, found.edges.withColumn("source_refs", F.array(F.struct(F.lit("star").alias("source_path"), F.lit(0).alias("chunk_index")))))
@@ -277,9 +351,18 @@ def context_graph_blocks(spark, sf_dir):
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey AS id, trim(trim(regexp_replace(lower('  ' || p_name || '  ' || p_brand || '. '), '\\s+', ' ', 'g')), '.,-·''\"“”‘’` ') AS normalized FROM part")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN lower(p_name || ' ' || p_brand) WHEN 1 THEN nfc_normalize(lower('e' || chr(769) || 'a' || chr(776) || ' ' || p_name)) WHEN 2 THEN lower(p_name) || ' ' || lower(p_brand) ELSE lower(p_brand) || '-' || lower(p_name) END AS normalized FROM part""")
 def text_normalize(spark, sf_dir):
-    name = F.concat(F.lit("  "), "p_name", F.lit("  "), "p_brand", F.lit(". "))
+    """Names with spaces and stops around them, decomposed accents, Unicode spaces, and quotation marks at the ends."""
+    forms = [
+        F.concat(F.lit("  "), "p_name", F.lit("  "), "p_brand", F.lit(". ")),
+        F.concat(F.lit("E\u0301A\u0308 "), "p_name"),
+        F.concat("p_name", F.lit("\u00a0\u3000\t"), "p_brand"),
+        F.concat(F.lit("\u201c\u2018"), "p_brand", F.lit("-"), "p_name", F.lit("\u2019\u201d·")),
+    ]
+    name = forms[3]
+    for k in (2, 1, 0):
+        name = F.when(F.col("p_partkey") % 4 == k, forms[k]).otherwise(name)
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.normalize(name).alias("normalized"))
 
 
@@ -292,15 +375,12 @@ def text_identifiers(spark, sf_dir):
 @query()
 def text_keywords(spark, sf_dir):
     """Six keywords of each document. Word bounds are those of Unicode, which DuckDB's expressions lack."""
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(text.KEYWORD))).alias("keyword")).filter(~F.col("keyword").isin(text.TRIVIAL))
-    ranked = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "keyword")
-    return found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(ranked)).filter("k <= 6").drop("k")
+    return text.top_keywords(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def file_hashes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.col("text").cast("binary")).select("doc_id", files.file_hash().alias("content_hash"))
     return docs.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
@@ -312,10 +392,36 @@ def _chunk_query(name, how, **options):
     return query()(run)
 
 
-_chunk_query("chunk_extraction", chunking.chunk_text, budget=400)
-_chunk_query("chunk_retrieval", chunking.chunk_for_retrieval, budget=300)
+_chunk_query("chunk_extraction", chunking.chunk_text)
+_chunk_query("chunk_retrieval", chunking.chunk_for_retrieval)
 _chunk_query("chunk_rag", chunking.chunk_for_rag)
 
+#: Texts whose chunks can be told without a chunker: paragraphs of ten sentences of a hundred tokens each, as many as the
+#: nation's number and one. What a chunk is made of and what comes before it, by its place.
+FORM = {"sentence": "'x' || repeat(' x', 97) || ' y.'", "paragraph": "s || repeat(' ' || s, 9)"}
+FORMS_SQL = f"""WITH s AS (SELECT n_nationkey AS doc_id, n_nationkey + 1 AS k, {FORM['sentence']} AS s FROM nation), p AS (SELECT *, {FORM['paragraph']} AS p FROM s),
+c AS (SELECT *, unnest(range(total)) AS chunk_index FROM (SELECT *, {{total}} AS total FROM p))
+SELECT doc_id, chunk_index::INT AS chunk_index, total::INT AS total_chunks, CASE WHEN chunk_index > 0 THEN {{tail}} || chr(10) || chr(10) ELSE '' END || {{piece}} AS text FROM c"""
+GAP = "chr(10) || chr(10)"
+
+
+def _form_query(name, how, total, tail, piece):
+    def run(spark, sf_dir):
+        sentence = "x" + " x" * 97 + " y."
+        paragraph = " ".join([sentence] * 10)
+        docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.array_join(F.array_repeat(F.lit(paragraph), F.col("n_nationkey") + 1), "\n\n").alias("text"))
+        return chunking.chunks(docs, how)
+
+    run.__name__ = name
+    return query(FORMS_SQL.replace("{total}", total).replace("{tail}", tail).replace("{piece}", piece))(run)
+
+
+# Four paragraphs are 4,000 tokens, a fifth of which goes before the next piece; one and a half are 1,500, before which go
+# two sentences; eight sentences are 800, before which go the last hundred tokens with the blank line before them.
+_form_query("chunk_extraction_forms", chunking.chunk_text, "ceil(k / 4)::INT", "repeat(' ' || s, 8)", f"p || repeat({GAP} || p, least(4, k - 4 * chunk_index)::INT - 1)")
+_form_query("chunk_retrieval_forms", chunking.chunk_for_retrieval, "k", "s || ' ' || s", "p")
+_form_query("chunk_rag_forms", chunking.chunk_for_rag, "ceil(k * 10 / 8)::INT", f"{GAP} || s", f"s || repeat({GAP} || s, least(8, k * 10 - 8 * chunk_index)::INT - 1)")
+
 
 # --- identity and changes -----------------------------------------------------------------------------------------
 
@@ -337,8 +443,43 @@ def identity_merge(spark, sf_dir):
 
 @query("SELECT p_partkey AS seq, min(p_partkey) OVER (PARTITION BY p_type, p_name) AS entity_seq, CASE WHEN p_partkey = min(p_partkey) OVER (PARTITION BY p_type, p_name) THEN 4 ELSE 1 END AS step FROM part")
 def identity_match(spark, sf_dir):
-    """Sequential matching, with a threshold that no two different names reach."""
-    return identity.match_sequential(_part_mentions(spark, sf_dir), match=1.01, ask=1.01).select("seq", "entity_seq", "step")
+    """Sequential matching at the thresholds in use; no two different names of the parts are near enough to be merged."""
+    return identity.match_sequential(_part_mentions(spark, sf_dir)).select("seq", "entity_seq", "step")
+
+
+STORED_SQL = """WITH t AS (SELECT p_partkey AS seq, p_type, p_name, 'B|' || p_type || '|' || p_brand AS own, 'B|' || p_type || '|' || min(p_brand) OVER (PARTITION BY p_type) AS wanted, p_size = 1 AS named FROM part),
+f AS (SELECT *, min(CASE WHEN named THEN seq END) OVER w AS since FROM t WINDOW w AS (PARTITION BY p_type, p_name)),
+g AS (SELECT *, seq > since AS later FROM f)
+SELECT seq, CASE WHEN named THEN wanted WHEN later THEN wanted ELSE own END AS entity_id, CASE WHEN named THEN 0 WHEN later THEN 1 ELSE 2 END AS step FROM g"""
+
+
+@query(STORED_SQL)
+def identity_stored(spark, sf_dir):
+    """Matching against stored entities: brands of each type are stored, parts name them as an alias, and those of one size by id.
+
+    A part that is merged by id leaves its name behind, which later parts of that name find.
+    """
+    parts = table(spark, sf_dir, "part")
+    stored = parts.groupBy("p_type", "p_brand").agg(F.lit("default").alias("namespace_id")).select(F.concat_ws("|", F.lit("B"), "p_type", "p_brand").alias("id"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), "namespace_id")
+    first = parts.groupBy("p_type").agg(F.min("p_brand").alias("first"))
+    mentions = _part_mentions(spark, sf_dir).join(first.withColumnRenamed("p_type", "type"), "type").withColumn("aliases", F.array("description"))
+    sizes = parts.select(F.col("p_partkey").alias("seq"), "p_size")
+    mentions = mentions.join(sizes, "seq").withColumn("matched_existing_id", F.when(F.col("p_size") == 1, F.concat_ws("|", F.lit("B"), "type", "first")))
+    return identity.resolve(mentions, stored).select("seq", "entity_id", "step")
+
+
+@query(
+    """WITH t AS (SELECT 'P' || p_partkey AS id, 'B' || p_type || p_brand AS target, p_partkey AS seq, p_name, p_size FROM part),
+a AS (SELECT target, lower(p_name) AS k, arg_min(p_name, seq) AS alias, min(seq) AS seq FROM t WHERE lower(p_name) <> 'blocked' GROUP BY ALL)
+SELECT target AS id, (SELECT string_agg(alias, ';' ORDER BY seq) FROM a WHERE a.target = t.target) AS aliases, count(DISTINCT 'f' || p_size) AS sources, first(p_name ORDER BY length(p_name) DESC, seq) AS description FROM t GROUP BY target"""
+)
+def identity_merged(spark, sf_dir):
+    """Entities after a merge: distinct aliases in order, the longest description, each source once."""
+    parts = table(spark, sf_dir, "part")
+    mentions = parts.select(F.lit("default").alias("namespace_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.array("p_name").alias("aliases"), F.col("p_name").alias("description"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("source_path"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
+    found = parts.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("B"), "p_type", "p_brand").alias("entity_id"), F.lit(None).cast("bigint").alias("entity_seq"), F.lit(2).alias("step"))
+    out = identity.merged(mentions, found)
+    return out.select("id", F.array_join("aliases", ";").alias("aliases"), F.size("source_refs").cast("bigint").alias("sources"), "description")
 
 
 @query("SELECT from_id, type, to_id, count(DISTINCT source_path) AS sources, count(*) AS mentions FROM m GROUP BY ALL", graph=True)
@@ -347,16 +488,44 @@ def relation_upsert(spark, sf_dir):
 
 
 @query(
-    """, n AS (SELECT lower(name) AS k, min(id) AS id, count(*) AS c FROM e WHERE type IN ('part', 'nation') GROUP BY 1)
-SELECT id AS end_id, CASE WHEN c = 1 THEN first_id END AS entity_id, CASE WHEN c = 1 THEN 'graph' END AS how FROM (SELECT e.id, n.c, n.id AS first_id FROM e LEFT JOIN n ON lower(e.name) = n.k WHERE type IN ('part', 'nation', 'region'))""",
+    """, p AS (SELECT p_partkey AS k, p_name, 'f' || p_size AS f, 'P' || p_partkey AS id FROM part),
+x AS (SELECT f, p_name, arg_max(id, k) AS hit FROM p GROUP BY ALL),
+n AS (SELECT lower(name) AS key, min(id) AS id FROM e WHERE type IN ('nation', 'region') GROUP BY 1 HAVING count(*) = 1),
+q AS (SELECT p.*, CASE k % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' WHEN 2 THEN 'graph' END AS how, n_name FROM p JOIN nation ON n_nationkey = k % 25)
+SELECT k AS end_id, CASE WHEN how IN ('exact', 'normalized') THEN hit WHEN how = 'graph' THEN n.id END AS entity_id, CASE WHEN how = 'graph' AND n.id IS NULL THEN NULL ELSE how END AS how
+FROM q LEFT JOIN x USING (f, p_name) LEFT JOIN n ON n.key = lower(n_name)""",
     graph=True,
 )
 def endpoint_resolution(spark, sf_dir):
-    nodes = entities(spark, sf_dir)
-    ends = nodes.filter(F.col("type").isin("part", "nation", "region")).select(F.col("id").alias("end_id"), F.lit("f").alias("source_path"), F.upper("name").alias("name"))
-    graph = nodes.filter(F.col("type").isin("part", "nation")).select(F.col("id").alias("entity_id"), "name")
-    none = spark.createDataFrame([], "source_path string, name string, entity_id string, seq bigint")
-    return identity.resolve_endpoints(ends, none, graph).select("end_id", "entity_id", "how")
+    """Ends by the exact name in their file, the normalised one there, a name that one entity of the graph has, or nothing."""
+    parts = table(spark, sf_dir, "part").withColumn("file", F.concat(F.lit("f"), F.col("p_size").cast("string")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("at"), "n_name")
+    rows = parts.join(nations, F.col("at") == F.col("p_partkey") % 25)
+    turn = F.col("p_partkey") % 4
+    name = F.when(turn == 0, F.col("p_name")).when(turn == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit("."))).when(turn == 2, F.lower("n_name")).otherwise(F.concat(F.lit("nothing "), "p_name"))
+    ends = rows.select(F.col("p_partkey").alias("end_id"), F.when(turn == 2, "elsewhere").otherwise(F.col("file")).alias("source_path"), name.alias("name"))
+    in_file = parts.select(F.col("file").alias("source_path"), F.col("p_name").alias("name"), F.concat(F.lit("P"), "p_partkey").alias("entity_id"), F.col("p_partkey").alias("seq"))
+    graph = entities(spark, sf_dir).filter(F.col("type").isin("nation", "region")).select(F.col("id").alias("entity_id"), "name")
+    return identity.resolve_endpoints(ends, in_file, graph).select("end_id", "entity_id", "how")
+
+
+@query(
+    """WITH d AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'entity' AS kind, n_name AS a, 'nation' AS b, '' AS c, 1 AS sources FROM d UNION ALL SELECT 'entity', r_name, 'region', '', count(*) FROM d GROUP BY r_name
+UNION ALL SELECT 'relation', n_name, 'in', r_name, 1 FROM d UNION ALL SELECT 'unresolved', n_name, 'near', 'nowhere', 1 FROM d"""
+)
+def ingest_plan(spark, sf_dir):
+    """What a batch would change: a text for each nation, with its region, a relation, and one whose end is nowhere."""
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    said = F.format_string("노드: %s | nation\n노드: %s | region\n관계: %s | in | %s\n관계: %s | near | nowhere", "n_name", "r_name", "n_name", "r_name", "n_name")
+    sources = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("default").alias("namespace_id"), F.col("n_name").alias("source_path"), said.alias("text"), F.col("n_nationkey").cast("bigint").alias("seq"))
+    # Names that differ by a digit stay apart in more dimensions.
+    change = ingest.plan(sources, ingest.empty(spark), embed=lambda name: identity.trigram_embedding(name, 1024))
+    names = change.entities.select("id", "name")
+    rows = change.entities.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"), F.lit("").alias("c"), F.size("source_refs").cast("bigint").alias("sources"))
+    ends = change.relations.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("a")), "from_id").join(names.select(F.col("id").alias("to_id"), F.col("name").alias("c")), "to_id")
+    rows = rows.unionByName(ends.select(F.lit("relation").alias("kind"), "a", F.col("type").alias("b"), "c", F.size("source_paths").cast("bigint").alias("sources")))
+    return rows.unionByName(change.unresolved.select(F.lit("unresolved").alias("kind"), F.col("from_name").alias("a"), F.col("type").alias("b"), F.col("to_name").alias("c"), F.lit(1).cast("bigint").alias("sources")))
 
 
 def _runs(spark, sf_dir):
@@ -441,9 +610,9 @@ def eval_majority(spark, sf_dir):
     return evaluation.majority(_answers(spark, sf_dir))
 
 
-@query(f"{ANSWERS_SQL}, p AS (SELECT DISTINCT strategy, question_id FROM w WHERE correct = 0 AND run = 0), a AS (SELECT question_id FROM p WHERE strategy = 'view'), b AS (SELECT question_id FROM p WHERE strategy = 'click') SELECT 'only_a' AS part, count(*) AS n FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only_b', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b)")
+@query(f"{ANSWERS_SQL}, p AS (SELECT DISTINCT strategy, question_id FROM w WHERE correct = 0 AND seq % 7 = question_id % 7), a AS (SELECT question_id FROM p WHERE strategy = 'view'), b AS (SELECT question_id FROM p WHERE strategy = 'click') SELECT 'only_a' AS part, count(*) AS n FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'only_b', count(*) FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'both', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b)")
 def eval_error_sets(spark, sf_dir):
-    return evaluation.error_sets(_answers(spark, sf_dir).filter("correct = 0 and run = 0"), "view", "click")
+    return evaluation.error_sets(_answers(spark, sf_dir).filter("correct = 0 and seq % 7 = question_id % 7"), "view", "click")
 
 
 @query(f"{ANSWERS_SQL} SELECT seq, CASE WHEN correct = 1 THEN NULL WHEN seq % 8 = 0 THEN 'parse_error' WHEN choice = 'e' THEN 'unknown_choice' ELSE 'wrong_choice' END AS failure FROM w")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.traverse import GraphIndex, index
+
 NAMESPACE = "default"
 
 
@@ -56,6 +58,23 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("id", F.concat_ws("|", "from_id", "type", "to_id")).withColumn("namespace_id", F.lit(NAMESPACE))
 
 
+_indexes: dict[tuple[str, str, str], GraphIndex] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str, part: str = "") -> GraphIndex:
+    """The index of the star graph, made once for each application and folder, as a store makes it for each version.
+
+    part places: nations and regions lie in a namespace of their own, so that relations cross namespaces.
+    """
+    key = spark.sparkContext.applicationId, sf_dir, part
+    if key not in _indexes:
+        nodes = entities(spark, sf_dir)
+        if part == "places":
+            nodes = nodes.withColumn("namespace_id", F.when(F.col("type").isin("nation", "region"), "places").otherwise("default"))
+        _indexes[key] = index(nodes, relations(spark, sf_dir))
+    return _indexes[key]
+
+
 #: The same views in SQL, to stand before a query: e (entities), m (mentions), r (relations), a (adjacency), g (degrees).
 GRAPH_SQL = """
 e AS (SELECT 'R' || r_regionkey AS id, r_name AS name, 'region' AS type, '' AS description FROM region

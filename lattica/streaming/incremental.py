@@ -5,44 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.changes import apply_diff
-from lattica.operators.identity import scripted_extraction
+from lattica.operators import ingest
 from lattica.sources.store import SnapshotStore
 
 
-def emitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity mentions (id, name, type, source_path) and relation mentions (id, from_id, type, to_id, source_path)."""
-    said = scripted_extraction(docs.select(F.col("source_path").alias("doc_id"), "text"))
-    key = lambda kind, name: F.concat_ws("|", kind, F.lower(F.trim(name)))
-    nodes = said.filter("kind = 'entity'").select(key(F.col("b"), F.col("a")).alias("id"), F.col("a").alias("name"), F.col("b").alias("type"), F.col("doc_id").alias("source_path"))
-    ends = nodes.select(F.lower(F.trim("name")).alias("k"), "id", "source_path").groupBy("source_path", "k").agg(F.min("id").alias("id"))
-    rel = said.filter("kind = 'relation'").select(F.lower("a").alias("fk"), F.col("b").alias("type"), F.lower("c").alias("tk"), F.col("doc_id").alias("source_path"))
-    rel = rel.join(ends.withColumnsRenamed({"k": "fk", "id": "from_id"}), ["source_path", "fk"]).join(ends.withColumnsRenamed({"k": "tk", "id": "to_id"}), ["source_path", "tk"])
-    return nodes.distinct(), rel.select(F.concat_ws(">", "from_id", "type", "to_id").alias("id"), "from_id", "type", "to_id", "source_path").distinct()
-
-
-def ingest(docs: DataFrame, store: SnapshotStore) -> int:
-    """Take the documents (source_path, text) in as the only state of their sources; the same batch twice is one."""
-    base = store.version()
-    nodes, rels = emitted(docs)
-    sources = docs.select("source_path").distinct()
-    gather = lambda df, *keep: df.groupBy("id").agg(*[F.min(c).alias(c) for c in keep], F.array_sort(F.collect_set("source_path")).alias("source_paths"))
-    new_nodes, new_rels = gather(nodes, "name", "type"), gather(rels, "from_id", "type", "to_id")
-    if base:
-        old_nodes, old_rels = store.read("entities", base), store.read("relations", base)
-        lost = lambda old, now: old.select("id", F.explode("source_paths").alias("source_path")).join(sources, "source_path", "left_semi").join(now.select("id", "source_path"), ["id", "source_path"], "left_anti")
-        kept_nodes, kept_rels = apply_diff(old_nodes, old_rels, lost(old_nodes, nodes), lost(old_rels, rels))
-        both = lambda a, b, *keep: a.unionByName(b).groupBy("id").agg(*[F.min(c).alias(c) for c in keep], F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_paths")))).alias("source_paths"))
-        new_nodes, new_rels = both(kept_nodes, new_nodes, "name", "type"), both(kept_rels, new_rels, "from_id", "type", "to_id")
-    return store.publish({"entities": new_nodes, "relations": new_rels}, base)
-
-
-def stream(docs: DataFrame, store: SnapshotStore, checkpoint: str):
-    """Start the stream: each micro-batch keeps the last text of each source (by seq) and is ingested as one version."""
+def last_texts(batch: DataFrame) -> DataFrame:
+    """namespace_id, source_path, text, seq: the last text of each source, whose place in the batch is that of it."""
+    space = F.coalesce("namespace_id", F.lit("default")) if "namespace_id" in batch.columns else F.lit("default")
+    return batch.groupBy(space.alias("namespace_id"), "source_path").agg(F.max_by("text", "seq").alias("text"), F.max("seq").alias("seq"))
+
+
+def stream(docs: DataFrame, store: SnapshotStore, checkpoint: str, **options):
+    """Start the stream of docs (source_path, text, seq, and namespace_id if there are several): each micro-batch is one version.
+
+    Batches go through the ingest core: a batch that comes again, after a failure, finds its runs and changes nothing;
+    one of which a source fails still takes the others in. Only the namespaces of a batch are written anew.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        last = df.groupBy("source_path").agg(F.max_by("text", "seq").alias("text"))
+        last = last_texts(df)
         if not last.isEmpty():
-            ingest(last, store)
+            ingest.ingest(last, store, **options)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

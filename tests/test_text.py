@@ -1,3 +1,5 @@
+import os
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import given, settings
@@ -40,6 +42,39 @@ def test_chunks_by_structure():
     assert after[1].startswith("One two. One two.\n\n")
 
 
+def test_paragraphs_of_a_section_are_packed_first():
+    word = lambda n: " ".join(["w"] * n)
+    a, b1, b2, b3 = f"# A\n{word(3)}", f"# B\n{word(5)}", word(5), word(4)
+    got = chunking.chunk_text(f"{a}\n{b1}\n\n{b2}\n\n{b3}", budget=12, overlap_ratio=0)
+    assert got == [a, f"{b1}\n\n{b2}", b3]
+
+
+def test_baseline_chunks_end_at_full_width_marks():
+    one = "w " * 500 + "끝！"
+    assert chunking.chunk_for_rag(f"{one} {one}")[0] == one.strip() and len(chunking.chunk_for_rag(f"{one} {one}")) == 2
+    assert chunking.chunk_for_rag("a\n \nb\n\n\nc") == ["a\n\nb\n\nc"]
+
+
+@pytest.mark.parametrize("name", ["chunk_text", "chunk_for_retrieval", "chunk_for_rag"])
+def test_chunks_of_documents_against_brute_force(spark, name):
+    """Budgets hold, and texts without their overlaps give the document back."""
+    how, budget = getattr(chunking, name), {"chunk_text": 4000, "chunk_for_retrieval": 1500, "chunk_for_rag": 800}[name]
+    count = lambda t: len(chunking.WordTokens().encode(t))
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        parts = how(r["text"], **({"overlap_ratio": 0} if name == "chunk_text" else {"overlap": 0}))
+        assert all(count(p) <= budget + p.count("\n\n") for p in parts)
+        if name != "chunk_for_rag" or count(r["text"]) <= budget:
+            assert "".join("".join(parts).split()) == "".join(r["text"].split())
+
+
+def test_tokens_of_a_vocabulary_file():
+    path = next((f"/opt/tokenizers/{n}" for n in sorted(os.listdir("/opt/tokenizers")) if n.endswith(".tiktoken")), None) if os.path.isdir("/opt/tokenizers") else None
+    if path is None:
+        pytest.skip("no vocabulary file at hand")
+    tokens = chunking.Encoding(path, r"\w+|\s+|[^\w\s]+")
+    assert tokens.decode(tokens.encode("words and ones")) == "words and ones" and len(chunking.chunk_text("word " * 50, tokens, budget=20)) > 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .!?\n#가다", max_size=200), st.integers(2, 30))
 def test_chunks_lose_nothing(doc, budget):
