@@ -6,22 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.sources.store import scratch
 
 #: Vectors of a block; each pair of blocks of a kind is compared in one task.
 BLOCK = 2048
+#: Edges that pass through the driver at most.
+SMALL = 20_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that each node of edges (a, b) is connected to.
 
-    Every round, nodes above a node are hung under the least of its neighbours, then all neighbours below it are; each
+    Up to SMALL edges are joined on the driver, as a micro-batch has few; more in rounds, with the same result. Every round, nodes above a node are hung under the least of its neighbours, then all neighbours below it are; each
     is one grouped minimum. Rounds are written to the shared folder, and end when nothing moves.
     """
-    now = scratch(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = scratch(edges.select("a", "b").distinct(), "links")
+    some = edges.limit(SMALL + 1).toPandas()
+    if len(some) <= SMALL:
+        return _joined(edges.sparkSession, some)
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
         ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")
@@ -40,6 +46,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", "v").unionByName(own).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
+def _joined(spark: SparkSession, edges: pd.DataFrame) -> DataFrame:
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return spark.createDataFrame([(k, root(k)) for k in list(parent)], "node bigint, component bigint")
+
+
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of near that join nodes which no pair before them has joined."""
     parent: dict[int, int] = {}

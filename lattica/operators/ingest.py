@@ -142,6 +142,18 @@ def _ordered(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(at, ["namespace_id", "source_path"]).withColumn("seq", F.col("source_seq") * F.lit(1 << 32) + F.row_number().over(inside)).drop("source_seq")
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Sources with their rank as seq: by seq, then namespace and path. Ranks come from the sizes of sorted partitions."""
+    rows = scratch(sources.orderBy("seq", "namespace_id", "source_path").withColumn("place", F.monotonically_increasing_id()), "ingest-sources")
+    part = F.shiftright("place", 33)
+    start, offsets = 0, []
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(start)]
+        start += r["count"]
+    offset = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return rows.withColumn("seq", (offset + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("place")
+
+
 def _run_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256), 1, 26)
 
@@ -158,7 +170,7 @@ def plan(sources: DataFrame, before: dict[str, DataFrame], base: int = 0, *, ext
     now = F.current_timestamp()
     space = F.coalesce("namespace_id", F.lit("default"))
     last = sources.groupBy(space.alias("namespace_id"), "source_path").agg(F.max_by(F.coalesce("text", F.lit("")), "seq").alias("text"), F.max("seq").alias("seq"))
-    given = scratch(last.withColumn("source_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("extractor_version", F.lit(version)), "ingest-sources")
+    given = _ranked(last.withColumn("source_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("extractor_version", F.lit(version)))
     fresh = scratch(changes.unseen(given, before["runs"]).withColumn("run_id", _run_id(F.col("namespace_id"), F.col("source_path"), F.col("source_hash"), F.col("extractor_version"), F.lit(batch or str(base)))), "ingest-fresh")
     said, told, failures = extract(units_of(fresh, **chunk_options))
     failed = scratch(failures.groupBy("namespace_id", "source_path").agg(F.min("error").alias("error")), "ingest-failed")
@@ -195,6 +207,15 @@ def _embedded(entities: DataFrame, embed: Callable[[str], np.ndarray]) -> DataFr
     return entities.withColumn("embedding", F.coalesce("embedding", vector(F.when(F.col("embedding").isNull(), F.col("name")))))
 
 
+def _upserted(new: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations of new triples (with namespace_id, paths, run_ids) as they are afterwards: what is stored gains sources and runs."""
+    triple = ["from_id", "type", "to_id"]
+    old = relations.select(*triple, "id", "source_paths", "emitted_in_run_ids")
+    union = lambda a, b: F.array_union(F.coalesce(a, F.array().cast("array<string>")), b)
+    made = F.upper(F.substring(F.sha2(F.concat_ws("\x1f", *triple).cast("binary"), 256), 1, 26))
+    return new.join(old, triple, "left").select(F.coalesce("id", made).alias("id"), "namespace_id", *triple, union("source_paths", F.col("paths")).alias("source_paths"), union("emitted_in_run_ids", F.col("run_ids")).alias("emitted_in_run_ids"), F.col("id").isNotNull().alias("changed"))
+
+
 def _relations(mentions: DataFrame, found: DataFrame, told: DataFrame, entities: DataFrame, before: dict[str, DataFrame], fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Relations made or changed as they are afterwards, the mentions without an end, and (source, relation_id) emitted."""
     at = ["namespace_id", "source_path"]
@@ -207,19 +228,47 @@ def _relations(mentions: DataFrame, found: DataFrame, told: DataFrame, entities:
     got = identity.resolve_endpoints(ends, in_file, graph).select(F.split("end_id", ":").alias("x"), "entity_id")
     got = got.groupBy(F.get("x", F.lit(0)).cast("bigint").alias("end_id")).agg(*[F.max(F.when(F.get("x", F.lit(1)) == end, F.col("entity_id"))).alias(f"{end}_id") for end in ("from", "to")])
     linked = scratch(told.join(got, "end_id", "left"), "ingest-linked")
-    unresolved = linked.filter("from_id is null or to_id is null").select(*at, "seq", "from_name", "type", "to_name", "from_id", "to_id")
+    unresolved = linked.filter("from_id is null or to_id is null").join(fresh.select(*at, "run_id"), at).select(*at, "run_id", "seq", "from_name", "type", "to_name", "from_id", "to_id")
     triple = ["from_id", "type", "to_id"]
     rows = linked.filter("from_id is not null and to_id is not null").join(fresh.select(*at, "run_id"), at)
     new = rows.groupBy(*triple).agg(F.min("namespace_id").alias("namespace_id"), F.array_sort(F.collect_set("source_path")).alias("paths"), F.array_sort(F.collect_set("run_id")).alias("run_ids"))
-    old = before["relations"].select(*triple, "id", "source_paths", "emitted_in_run_ids")
-    union = lambda a, b: F.array_union(F.coalesce(a, F.array().cast("array<string>")), b)
-    made = F.substring(F.sha2(F.concat_ws("\x1f", *triple).cast("binary"), 256), 1, 26)
-    out = new.join(old, triple, "left").select(F.coalesce("id", F.upper(made)).alias("id"), "namespace_id", *triple, union("source_paths", F.col("paths")).alias("source_paths"), union("emitted_in_run_ids", F.col("run_ids")).alias("emitted_in_run_ids"), F.col("id").isNotNull().alias("changed"))
+    out = _upserted(new, before["relations"])
     out = scratch(out, "ingest-relations")
     emitted = rows.join(out.select("id", *triple), triple).select(*at, F.col("id").alias("relation_id")).distinct()
     return out, scratch(unresolved, "ingest-unresolved"), emitted
 
 
+def second_pass(store: SnapshotStore, unresolved: DataFrame) -> int:
+    """Retry relations that earlier batches left without an end (Changes.unresolved) against the graph as it is now.
+
+    Ends are looked up by name or alias in their namespace only, as files of one batch have been tried by the batch
+    itself. What is found is published, with the run that said it; gives the number of relations recovered.
+    """
+    base = store.version()
+    before = state(store, base)
+    rows = scratch(unresolved.select("namespace_id", "source_path", "run_id", "seq", "from_name", "type", "to_name"), "second-pass")
+    ends = rows.select(F.col("seq").alias("end_id"), "namespace_id", "source_path", F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("from_name").alias("name")), F.struct(F.lit("to").alias("end"), F.col("to_name").alias("name")))).alias("e"))
+    none = store.spark.createDataFrame([], "namespace_id string, source_path string, name string, entity_id string, seq bigint")
+    graph = before["entities"].select(F.col("id").alias("entity_id"), "namespace_id", "name", "normalized_aliases")
+    key = F.concat_ws(":", "namespace_id", "source_path", F.col("end_id").cast("string"), "e.end")
+    got = identity.resolve_endpoints(ends.select(key.alias("end_id"), "namespace_id", "source_path", "e.name"), none, graph).filter("entity_id is not null").select("end_id", "entity_id")
+    for end in ("from", "to"):
+        rows = rows.withColumn("end_id", F.concat_ws(":", "namespace_id", "source_path", F.col("seq").cast("string"), F.lit(end))).join(got.withColumnRenamed("entity_id", f"{end}_id"), "end_id").drop("end_id")
+    found = scratch(rows, "second-pass-found")
+    n = found.count()
+    if not n:
+        return 0
+    triple = ["from_id", "type", "to_id"]
+    new = found.groupBy(*triple).agg(F.min("namespace_id").alias("namespace_id"), F.array_sort(F.collect_set("source_path")).alias("paths"), F.array_sort(F.collect_set("run_id")).alias("run_ids"))
+    out = scratch(_upserted(new, before["relations"]), "second-pass-relations")
+    nothing = {name: store.spark.createDataFrame([], schema) for name, schema in STATE.items()}
+    entities = store.spark.createDataFrame([], f"{STATE['entities']}, changed boolean, created_seq bigint")
+    lost = store.spark.createDataFrame([], "id string, source_path string")
+    emitted = found.join(out.select("id", *triple), triple).select("run_id", F.col("id").alias("relation_id")).distinct()
+    commit(store, Changes(base, found, entities, out, lost, lost, nothing["runs"], nothing["run_entities"], scratch(emitted, "second-pass-emitted"), unresolved, [], {}))
+    return n
+
+
 def delete_source(before: dict[str, DataFrame], source_path: str, namespace_id: str = "default", base: int = 0) -> Changes:
     """The changes of taking a source out: it is compared with a source that emits nothing, and its runs are withdrawn."""
     spark = before["runs"].sparkSession
@@ -228,7 +277,7 @@ def delete_source(before: dict[str, DataFrame], source_path: str, namespace_id:
     none = {name: spark.createDataFrame([], schema) for name, schema in STATE.items()}
     gone = before["runs"].filter((F.col("source_path") == source_path) & (F.col("namespace_id") == namespace_id) & (F.col("status") == "succeeded")).withColumn("status", F.lit("withdrawn"))
     nothing = spark.createDataFrame([], f"{STATE['entities']}, changed boolean, created_seq bigint")
-    unresolved = spark.createDataFrame([], "namespace_id string, source_path string, seq bigint, from_name string, type string, to_name string, from_id string, to_id string")
+    unresolved = spark.createDataFrame([], "namespace_id string, source_path string, run_id string, seq bigint, from_name string, type string, to_name string, from_id string, to_id string")
     sources = spark.createDataFrame([(namespace_id, source_path)], "namespace_id string, source_path string")
     return Changes(base, sources, nothing, spark.createDataFrame([], f"{STATE['relations']}, changed boolean"), lost(before["run_entities"], "entity_id"), lost(before["run_relations"], "relation_id"), scratch(gone, "delete-runs"), none["run_entities"], none["run_relations"], unresolved, [], {})
 

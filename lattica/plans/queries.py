@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -520,7 +522,7 @@ def ingest_plan(spark, sf_dir):
     said = F.format_string("노드: %s | nation\n노드: %s | region\n관계: %s | in | %s\n관계: %s | near | nowhere", "n_name", "r_name", "n_name", "r_name", "n_name")
     sources = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("default").alias("namespace_id"), F.col("n_name").alias("source_path"), said.alias("text"), F.col("n_nationkey").cast("bigint").alias("seq"))
     # Names that differ by a digit stay apart in more dimensions.
-    change = ingest.plan(sources, ingest.empty(spark), embed=lambda name: identity.trigram_embedding(name, 1024))
+    change = ingest.plan(sources, ingest.empty(spark), embed=partial(identity.trigram_embedding, dimension=1024))
     names = change.entities.select("id", "name")
     rows = change.entities.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"), F.lit("").alias("c"), F.size("source_refs").cast("bigint").alias("sources"))
     ends = change.relations.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("a")), "from_id").join(names.select(F.col("id").alias("to_id"), F.col("name").alias("c")), "to_id")

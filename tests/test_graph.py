@@ -103,7 +103,9 @@ def test_paths_against_brute_force(spark, monkeypatch, small):
         assert [g[1] for g in got] == pytest.approx([w[1] for w in brute(nodes[0], end, types)])
 
 
-def test_components_and_similarity(spark):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_components_and_similarity(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (9, 9), (6, 7), (7, 8), (8, 4)], "a bigint, b bigint")
     assert {r["node"]: r["component"] for r in components.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4, 9: 9}
     rng = np.random.default_rng(1)
