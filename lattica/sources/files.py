@@ -236,7 +236,7 @@ def responses(spark: SparkSession, root: str, strategy: str) -> DataFrame:
     if fs.exists(jvm.org.apache.hadoop.fs.Path(lines)):
         return spark.read.text(lines).filter("trim(value) <> ''").select(F.col("value").alias("body"))
     if fs.exists(jvm.org.apache.hadoop.fs.Path(folder)):
-        return spark.read.option("pathGlobFilter", "*.json").option("wholetext", "true").text(folder).select("value", F.input_file_name().alias("at")).orderBy("at").select(F.col("value").alias("body"))
+        return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.input_file_name().alias("at")).orderBy("at").select(F.col("value").alias("body"))
     return spark.createDataFrame([], "body string")
 
 
