@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
@@ -55,9 +55,15 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
     A conversation is one record of the output, so its turns are gathered; conversations are never gathered together.
     """
-    empty = F.lit("")
-    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    empty, loss = F.lit(""), lambda role: role.isin(template["loss_roles"])
+    role, text = escape(F.coalesce("role", empty), template), escape(F.coalesce("text", empty), template)
+    head = F.concat(F.lit(template["open"]), role, F.lit(template["opened"]))
+    rows = rows.select("conv_id", F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"), head.alias("head"), text.alias("said"))
+    # Where a turn starts is a running sum over its conversation, by the key that the gathering needs anyway.
+    size = F.length("head") + F.length("said") + len(template["close"])
+    before = Window.partitionBy("conv_id").orderBy("last", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(size.cast("bigint")).over(before), F.lit(0).cast("bigint")))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "head", "said"))).alias("turns"))
     moves = F.create_map(*[F.lit(x) for state, by_role in template["order"].items() for role, to in by_role.items() for x in (f"{state}\x00{role}", to)])
     start = F.struct(F.lit(template["start"]).alias("state"), F.lit(0).alias("at"))
 
@@ -66,30 +72,18 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         return F.struct(to.alias("state"), (a["at"] + (to != REJECTED).cast("int")).alias("at"))
 
     walked = F.aggregate("turns", start, step)
-    loss = lambda role: role.isin(template["loss_roles"])
-    pieces = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
-                F.struct(F.concat(F.lit(template["open"]), escape(t["role"], template), F.lit(template["opened"])).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(t["text"], template).alias("text"), loss(t["role"]).alias("loss")),
-                F.struct(F.lit(template["close"]).alias("text"), F.lit(False).alias("loss")),
-            ),
-        )
-    )
-    chats = chats.select("conv_id", "turns", walked.alias("walk"), pieces.alias("pieces"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,loss:boolean>>")
-    spans = F.aggregate(
-        "pieces",
-        F.struct(none.alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda a, p: F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(p["text"])).alias("end"), p["loss"].alias("loss")))).alias("out"), (a["at"] + F.length(p["text"])).alias("at")),
-        lambda a: a["out"],
-    )
+    chats = chats.select("conv_id", "turns", walked.alias("walk"))
+
+    def spans(t: Column) -> Column:
+        inner, end = t["at"] + F.length(t["head"]), t["at"] + F.length(t["head"]) + F.length(t["said"])
+        part = lambda x, y, on: F.struct(x.cast("bigint").alias("start"), y.cast("bigint").alias("end"), on.alias("loss"))
+        return F.array(part(t["at"], inner, F.lit(False)), part(inner, end, loss(t["role"])), part(end, end + len(template["close"]), F.lit(False)))
+
     accepted = F.col("walk.state").isin(template["final"])
     return chats.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        spans.alias("segments"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["said"], F.lit(template["close"]))), "").alias("formatted"),
+        F.flatten(F.transform("turns", spans)).alias("segments"),
         accepted.alias("valid"),
         F.when(~accepted, F.col("walk.at")).alias("broken_at"),
     )
