@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, shared_dir, table
+from lattica.llm.common import materialize, shared_dir, sized, table
 
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
+#: Captures of one archive file at most.
+FILE_PAGES = 10_000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed name of the revisit profile.
@@ -39,11 +40,12 @@ def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Pages with equal payloads of `least` bytes or more revisit the one with the largest page_id. Null html is empty; a
     null page_id is never a target and revisits its group's. Rows that share a page_id and a payload are all responses
-    if that id is the largest. Only digests that occur twice are joined back; a hot digest is pre-aggregated.
+    if that id is the largest. Only digests that occur twice are
+    joined back, by broadcast if they are few enough, so that pages stay where they are; a hot digest is pre-aggregated.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     same = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n"))
-    same = same.filter("n > 1").select("digest", "target")
+    same = sized(materialize(same.filter("n > 1").select("digest", "target"), "warc-targets"))
     return rows.join(same, "digest", "left").withColumn("refers_to", F.when((F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("target")), F.col("target"))).drop("target")
 
 
@@ -79,7 +81,7 @@ def write(captures: DataFrame, path: str) -> None:
         [("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("key"))), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", _record_id("response", F.col("key"))), ("Content-Type", "application/warc-fields")],
         F.concat(F.lit("page: "), page, F.lit(CRLF + "payloadBytes: "), F.octet_length("payload").cast("string"), F.lit(CRLF)),
     )
-    rows.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    rows.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
