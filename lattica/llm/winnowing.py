@@ -73,7 +73,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         return df.select(*keep, F.inline(F.concat(*each) if len(each) > 1 else each[0]))
 
     item_windows = windows(items, "item_id", "n_words").filter((F.col("length") == window) | (F.col("length") == F.col("n_words")))
-    item_windows = materialize(item_windows.select("item_id", "length", "h").distinct(), "winnow-windows")
+    item_windows = sized(materialize(item_windows.select("item_id", "length", "h").distinct(), "winnow-windows"))
     known = sized(materialize(item_windows.select("length", "h").distinct(), "winnow-known"))
 
     def prints(df: DataFrame, *keep: str) -> DataFrame:
