@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -22,7 +23,9 @@ BUCKETS = 1 << 18
 TERMS, LEAST_DOCS, LEAST_Z = 1024, 3, 4.0
 #: The part of the training documents by which the two machines are weighed, and the ridge of their weights.
 WEIGHED, RIDGE = 4, 1e-3
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 256, 0.15, 1e-4
+#: Epochs of the narrow machine and of the wide one, which learns no more of rare terms in further ones.
+EPOCHS, WIDE_EPOCHS = 20, 8
+FACTORS, BATCH, RATE, DECAY = 8, 256, 0.15, 1e-4
 THRESHOLD = 0.3
 CACHE = 300_000
 
@@ -46,32 +49,54 @@ def _training_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": pdf["label"], "held": pdf["held"], "terms": [np.array(sorted(term_buckets(t, cache)), np.int32).tobytes() for t in pdf["text"]]})
 
 
-def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, width: int) -> dict:
-    """Logistic factorization machine over binary terms by AdaGrad; rows in a fixed shuffled order."""
+class _Batch:
+    """Terms of some rows, by row and by term, so that sums over either are sums of neighbours."""
+
+    def __init__(self, indptr: np.ndarray, index: np.ndarray, label: np.ndarray, rows: np.ndarray):
+        sizes = indptr[rows + 1] - indptr[rows]
+        self.label, self.full = label[rows], np.flatnonzero(sizes)
+        self.of = np.repeat(np.arange(len(rows)), sizes)
+        self.at = index[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(indptr[rows], sizes)]
+        self.starts = (np.cumsum(sizes) - sizes)[self.full]
+        order = np.argsort(self.at, kind="stable")
+        self.by_term = self.of[order]
+        self.used, self.first = np.unique(self.at[order], return_index=True)
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.label), *values.shape[1:]), values.dtype)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(values, self.starts, axis=0)
+        return out
+
+
+def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, width: int, epochs: int = EPOCHS) -> dict:
+    """Logistic factorization machine over binary terms by AdaGrad; batches of rows that a fixed seed draws, in a new order each epoch."""
     rng = np.random.default_rng(7)
     n = len(label)
     rate = float(np.clip(label.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    b, w, v = np.log(rate / (1 - rate)), np.zeros(width), rng.normal(0, 0.01, (width, FACTORS))
-    gb, gw, gv = 1e-8, np.full(width, 1e-8), np.full((width, FACTORS), 1e-8)
-    for _ in range(EPOCHS if n else 0):
-        order = rng.permutation(n)
-        for k in range(0, n, BATCH):
-            rows = order[k : k + BATCH]
-            sizes = indptr[rows + 1] - indptr[rows]
-            of = np.repeat(np.arange(len(rows)), sizes)
-            at = index[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(indptr[rows], sizes)]
-            sums = _sums(v[at], of, len(rows))
-            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(of, w[at], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (v[at] ** 2).sum(1), len(rows))), -30, 30)))
-            err = (p - label[rows]) / len(rows)
-            used, inverse = np.unique(at, return_inverse=True)
-            g = np.bincount(inverse, err[of], len(used)) + DECAY * w[used]
-            gf = _sums(err[of, None] * (sums[of] - v[at]), inverse, len(used)) + DECAY * v[used]
-            gb += err.sum() ** 2
-            gw[used] += g**2
-            gv[used] += gf**2
-            b -= RATE * err.sum() / np.sqrt(gb)
-            w[used] -= RATE * g / np.sqrt(gw[used])
-            v[used] -= 0.3 * RATE * gf / np.sqrt(gv[used])
+    b, w, v = np.log(rate / (1 - rate)), np.zeros(width, np.float32), rng.normal(0, 0.01, (width, FACTORS)).astype(np.float32)
+    gb, gw, gv = 1e-8, np.full(width, 1e-8, np.float32), np.full((width, FACTORS), 1e-8, np.float32)
+    drawn = rng.permutation(n)
+    batches = [_Batch(indptr, index, label, drawn[k : k + BATCH]) for k in range(0, n, BATCH)]
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)):
+            x = batches[k]
+            factors = v[x.at]
+            sums = x.by_row(factors)
+            p = 1 / (1 + np.exp(-np.clip(b + x.by_row(w[x.at]) + 0.5 * ((sums**2).sum(1) - x.by_row((factors**2).sum(1))), -30, 30)))
+            err = ((p - x.label) / len(p)).astype(np.float32)
+            gb += float(err.sum()) ** 2
+            b -= RATE * float(err.sum()) / np.sqrt(gb)
+            if not len(x.used):
+                continue
+            each = err[x.by_term]
+            mine, errs = v[x.used], np.add.reduceat(each, x.first)
+            g = errs + DECAY * w[x.used]
+            gf = np.add.reduceat(each[:, None] * sums[x.by_term], x.first, axis=0) - errs[:, None] * mine + DECAY * mine
+            gw[x.used] += g**2
+            gv[x.used] += gf**2
+            w[x.used] -= RATE * g / np.sqrt(gw[x.used])
+            v[x.used] = mine - 0.3 * RATE * gf / np.sqrt(gv[x.used])
     return {"b": b, "w": w, "v": v}
 
 
@@ -104,7 +129,7 @@ def _machines(lists: list[np.ndarray], label: np.ndarray, width: int) -> list[di
     held[best[z[best] >= LEAST_Z]] = True
     narrow = fit(*_rows([x[held[x]] for x in lists]), label, width)
     narrow["v"][~held] = 0
-    return [narrow, fit(indptr, index, label, width)]
+    return [narrow, fit(indptr, index, label, width, WIDE_EPOCHS)]
 
 
 def _weigh(logits: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -136,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Learn from labelled documents outside fold 2 of 4: index by bucket, bias, weights and factors.
 
     The labelled sample has at most TRAIN_ROWS ids, so it may be broadcast, and only its texts are split into terms;
-    their buckets come to the driver. All terms of the sample are learned from, so that pairs of terms count that differ
+    one task learns from their buckets, so that the driver holds the model alone. All terms of the sample are learned from, so that pairs of terms count that differ
     in no class by themselves. As many rare terms fit noise, a narrow machine is fitted too, and the two are weighed by
     documents held out of both, then fitted again on all: their sum is one machine, of the factors of both. A null label
     or id is no label; an id with several labels is toxic if one of them says so.
@@ -149,8 +174,20 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     # Held out by id, as fold 2 is.
     texts = texts.select("text", "label", (F.floor(fold_of(F.col("doc_id"), 4 * WEIGHED) / 4) == 0).alias("held"))
-    rows = materialize(texts.mapInPandas(_training_terms, "label int, held boolean, terms binary"), "toxic-terms").collect()
-    rows = sorted((r["label"], bytes(r["terms"]), r["held"]) for r in rows)
+    rows = materialize(texts.mapInPandas(_training_terms, "label int, held boolean, terms binary"), "toxic-terms")
+    found = materialize(rows.repartition(1).mapInPandas(_learned, "model binary"), "toxic-model").collect()
+    return pickle.loads(found[0]["model"]) if found else learn([])
+
+
+def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows of a partition."""
+    rows = [(int(label), bytes(terms), bool(held)) for pdf in batches for label, held, terms in zip(pdf["label"], pdf["held"], pdf["terms"], strict=True)]
+    yield pd.DataFrame({"model": [pickle.dumps(learn(rows))]})
+
+
+def learn(rows: list[tuple[int, bytes, bool]]) -> dict:
+    """The model of (label, buckets, held out of the weighing) of documents, whatever their order."""
+    rows = sorted(rows)
     label = np.array([r[0] for r in rows], float)
     used = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[1], np.int32) for r in rows)]))
     index = np.full(BUCKETS, -1, np.int32)
