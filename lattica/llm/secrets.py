@@ -24,8 +24,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 KEYWORDS = ("passw", "secret", "token", "api")
-#: What the layers of one document may add up to: so much and as often its length; layers left wrapped are counted.
+#: What the layers of one document that are held may add up to: so much and as often its length. Compressed data beyond
+#: that are read in windows, which overlap, up to MOST_STREAMED bytes a document; what is left wrapped then is counted.
 MOST_UNPACKED, MOST_TIMES = 1 << 26, 8
+MOST_STREAMED, WINDOW, OVERLAP = 1 << 30, 1 << 23, 1 << 20
 #: The shortest base64 that can hold a finding: 32 equal digits in zlib.
 LEAST_BASE64 = 15
 BASE64 = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{%d,}={0,2}" % LEAST_BASE64), re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{%d,}={0,2}" % LEAST_BASE64))
@@ -35,8 +37,11 @@ LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 #: A mark of layers left wrapped among the kinds, and the lines of a text whose escapes are left.
 REFUSED = -1
-ESCAPED_LINE = re.compile(r"(?m)^.*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}).*$")
-UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+ESCAPED_LINE = re.compile(r"(?m)^.*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}).*$")
+UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})")
+#: Runs that may be URL escapes of compressed data, and how such data begin.
+PRINTABLE = re.compile(r"[!-~]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x9c\xda]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -98,19 +103,46 @@ def _member(new: Callable, raw: bytes, most: int) -> tuple[bytes, bytes, bool]:
     return b"".join(out)[:most], raw, False
 
 
+def _stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What pieces hold, unwrapped as long as it begins as compressed data do, a window at a time; ends at damage."""
+    first = next(pieces, b"")
+    if not _decompressor(first):
+        yield first
+        yield from pieces
+        return
+
+    def inside(data: bytes) -> Iterator[bytes]:
+        while new := _decompressor(data):
+            d = new()
+            while not d.eof:
+                try:
+                    out = d.decompress(data, WINDOW)
+                except DAMAGED:
+                    return
+                if out:
+                    yield out
+                data = getattr(d, "unconsumed_tail", b"")
+                if not data and not d.eof and not out and (data := next(pieces, b"")) == b"":
+                    return
+            data = d.unused_data.lstrip(b"\0") or next(pieces, b"")
+        yield data
+        yield from pieces
+
+    yield from _stream(inside(first))
+
+
 class Unpacker:
     """Unwraps compressed bytes by their magic numbers, within one document's allowance.
 
     cut counts what it refused, and refused has the spans of it in the document, as findings have them.
     """
 
-    def __init__(self, room: int):
-        self.room, self.cut, self.known, self.refused = room, 0, {}, []
+    def __init__(self, room: int, streamed: int = MOST_STREAMED):
+        self.room, self.streamed, self.cut, self.known, self.refused = room, streamed, 0, {}, []
 
     def takes(self, size: int) -> bool:
         fits = size <= self.room
         self.room -= size if fits else 0
-        self.cut += not fits
         return fits
 
     def _inside(self, raw: bytes) -> tuple[bytes, bytes]:
@@ -126,22 +158,41 @@ class Unpacker:
             raw = after.lstrip(b"\0")
         return b"".join(out), raw
 
-    def texts(self, raw: bytes) -> list[str | None]:
-        """raw as texts, unwrapped until nothing is compressed: what streams hold, and what is beside them; None if refused."""
+    def kinds(self, raw: bytes) -> frozenset[int]:
+        """Kinds found in data that are too large to hold, read in windows; REFUSED among them if not all could be read.
+
+        A finding or a layer in them of more than OVERLAP bytes may be cut by a window.
+        """
+        found, tail = set(), b""
+        for part in (piece[k : k + WINDOW] for piece in _stream(iter([raw])) for k in range(0, len(piece), WINDOW)):
+            self.streamed -= len(part)
+            if self.streamed < 0:
+                self.cut += 1
+                return frozenset({*found, REFUSED})
+            inner = Unpacker(MOST_TIMES * WINDOW, self.streamed)
+            found |= {kind for _, kind, _ in all_spans(_text(tail + part), inner)[1]}
+            found |= {REFUSED} if inner.cut else set()
+            self.streamed, self.cut = inner.streamed, self.cut + inner.cut
+            tail = (tail + part)[-OVERLAP:]
+        return frozenset(found)
+
+    def texts(self, raw: bytes) -> list[str | frozenset[int]]:
+        """raw as texts, unwrapped until nothing is compressed: what streams hold, and what is beside them; kinds if too large."""
         out, seen, work = [], {raw}, [raw]
         while work:
-            inside, rest = self._inside(work.pop())
+            data = work.pop()
+            inside, rest = self._inside(data)
+            if inside and inside not in seen and not self.takes(len(inside)):
+                out.append(self.kinds(data))
+                continue
             if rest:
-                out.append(_text(rest))
+                out.append(_text(rest) if self.takes(len(rest)) else self.kinds(rest))
             if inside and inside not in seen:
-                if self.takes(len(inside)):
-                    seen.add(inside)
-                    work.append(inside)
-                else:
-                    out.append(None)
+                seen.add(inside)
+                work.append(inside)
         return out
 
-    def run(self, core: str) -> list[str | None]:
+    def run(self, core: str) -> list[str | frozenset[int]]:
         """The texts in a base64 run without padding; the layers of a text repeat its runs, and each is unwrapped once."""
         if core not in self.known:
             # One character over stands for no byte.
@@ -149,6 +200,20 @@ class Unpacker:
             self.known[core] = self.texts(base64.b64decode(core_ + "=" * (-len(core_) % 4)))
         return self.known[core]
 
+    def escaped(self, run: str) -> list[str | frozenset[int]]:
+        """The texts in compressed data that a run holds in URL escapes."""
+        out, raw, at = [], unquote_to_bytes(run), 0
+        while m := MAGIC.search(raw, at):
+            at = m.end()
+            try:
+                begins = bool(_decompressor(raw[m.start() : m.start() + 6])().decompress(raw[m.start() : m.start() + 4096], 1))
+            except DAMAGED:
+                continue
+            if begins:
+                out += self.texts(raw[m.start() :])
+                break
+        return out
+
 
 def allowance(text: str) -> Unpacker:
     return Unpacker(MOST_UNPACKED + MOST_TIMES * len(text))
@@ -197,7 +262,9 @@ def _url(m: re.Match) -> list[tuple[str, int]]:
 
 
 def _unicode(m: re.Match) -> list[tuple[str, int]]:
-    return [(chr(int(m[1] or m[2], 16)), len(m[0]))]
+    code = int(m[1] or m[2] or m[3] or m[4], 16)
+    # What no character has as its number stands for itself.
+    return [(chr(code), len(m[0]))] if code < 0x110000 else [(c, 1) for c in m[0]]
 
 
 def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -226,14 +293,19 @@ def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
                 yield lines[k][0], m.end() if to == len(lines) else lines[to - 1][0] + len(lines[to - 1][1]), core
 
 
-def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str | None, Origin | None]]:
+def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str | frozenset[int], Origin | None]]:
     """(start, end, decoded, origin): the whole text without URL escapes, without Unicode escapes, and each base64 run.
 
     Text around an escape stays with it, as a finding may reach over both. origin has the place of each decoded
-    character and of the end; None if they stand for the run as a whole. decoded is None if it was refused.
+    character and of the end; None if they stand for the run as a whole. decoded is the kinds found in it if it was too
+    large to hold.
     """
     if "%" in text and (more := _decoded(text, URL_ESCAPES, _url)):
         yield 0, len(text), *more
+        for m in PRINTABLE.finditer(text):
+            if "%" in m[0]:
+                for out in unpack.escaped(m[0]):
+                    yield m.start(), m.end(), out, None
     if ("\\u" in text or "\\x" in text) and (more := _decoded(text, UNICODE_ESCAPE, _unicode)):
         yield 0, len(text), *more
     for start, end, core in base64_runs(text):
@@ -245,8 +317,9 @@ def layers(text: str, unpack: Unpacker) -> Iterator[tuple[int, int, str | None,
 def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, all) spans of a text; a finding in a layer has the span that the layer's characters stand for.
 
-    A worklist unwraps every different layer once, until none is new, so cycles end. An allowance bounds what layers add
-    up to, against texts made to unpack without end; what it refuses is known by its spans. Both are then carried outwards, to all places a layer is
+    A worklist unwraps every different layer once, until none is new, so cycles end. An allowance bounds what layers that
+    are held add up to, and compressed data beyond it are read in windows; what is refused at last, of texts made to
+    unpack without end, is known by its spans. Both are then carried outwards, to all places a layer is
     wrapped in, until no text gets a new one.
     """
     base = base_spans(text)
@@ -255,12 +328,14 @@ def all_spans(text: str, unpack: Unpacker | None = None) -> tuple[list[tuple[int
     while work:
         layer = work.pop()
         for start, end, inner, origin in layers(layer, unpack):
-            if inner is None:
-                found[layer].add((start, REFUSED, end))
+            if isinstance(inner, frozenset):
+                found[layer] |= {(start, kind, end) for kind in inner}
                 continue
             if inner not in found:
-                if not unpack.takes(len(inner)):
-                    found[layer] |= {(start, REFUSED, end)} if origin is None else {(m.start(), REFUSED, m.end()) for m in ESCAPED_LINE.finditer(layer)}
+                # What a run holds has its room already.
+                if origin is not None and not unpack.takes(len(inner)):
+                    unpack.cut += 1
+                    found[layer] |= {(m.start(), REFUSED, m.end()) for m in ESCAPED_LINE.finditer(layer)}
                     continue
                 found[inner] = set(base_spans(inner))
                 work.append(inner)
