@@ -21,8 +21,9 @@ COMPONENTS, BANDS, ROWS = 128, 24, 4
 MAYBE = 0.66
 #: Bands of the first round, which joins most copies; all further rounds take all bands.
 FIRST_BANDS = 8
-#: Members of a bucket that one task compares at a time; larger buckets are dealt over several tasks.
-CHUNK = 2048
+#: Members of a bucket that one task compares at a time; larger buckets are dealt over several tasks. In the last round
+#: every block of them meets every other one.
+CHUNK, BLOCK = 512, 1024
 #: Rounds in which each member of a bucket proposes its best partner; then all pairs left are verified where they meet.
 BEST_ROUNDS = 2
 CACHE = 400_000
@@ -133,20 +134,56 @@ def agreement(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (equal - 1 / 256) * 256 / 255
 
 
+def _commonest(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which members are of the commonest class, and which are not: those of one class need no comparison."""
+    values, counts = np.unique(classes, return_counts=True)
+    common = classes == values[counts.argmax()]
+    return np.flatnonzero(common), np.flatnonzero(~common)
+
+
 def chunk_best(ids: np.ndarray, classes: np.ndarray, sigs: np.ndarray) -> pd.DataFrame:
     """Each member with the one of another class that it agrees with most, if they may be similar."""
     out: set[tuple[int, int]] = set()
-    for k in range(0, len(ids), 64):
-        near = agreement(sigs[k : k + 64], sigs)
-        near[classes[k : k + 64, None] == classes[None, :]] = 0
-        j = near.argmax(1)
-        i = np.nonzero(near[np.arange(len(j)), j] >= MAYBE)[0]
-        a, b = ids[i + k], ids[j[i]]
-        out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    common, others = _commonest(classes)
+    for rows, columns in ((others, np.arange(len(ids))), (common, others)):
+        for k in range(0, len(rows), 64):
+            i = rows[k : k + 64]
+            near = agreement(sigs[i], sigs[columns])
+            near[classes[i, None] == classes[None, columns]] = 0
+            j = near.argmax(1)
+            some = np.nonzero(near[np.arange(len(j)), j] >= MAYBE)[0]
+            a, b = ids[i[some]], ids[columns[j[some]]]
+            out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
-def chunk_links(bucket: int, ids: np.ndarray, classes: np.ndarray, sigs: np.ndarray, bands: np.ndarray, sets: list) -> pd.DataFrame:
+def _pairs(classes: np.ndarray, sides: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, agreement) of the pairs of different classes that may be similar, by parts; of two blocks only those across."""
+    apart = len(np.unique(sides)) > 1
+    common, others = _commonest(classes)
+    is_common = np.zeros(len(classes), bool)
+    is_common[common] = True
+    for k in range(0, len(others), 64):
+        rows = others[k : k + 64]
+        near = agreement(sigs[rows], sigs)
+        near[classes[rows, None] == classes[None, :]] = 0
+        if apart:
+            near[sides[rows, None] == sides[None, :]] = 0
+        i, j = np.nonzero(near >= MAYBE)
+        near, i = near[i, j], rows[i]
+        keep = (i < j) | is_common[j]
+        yield i[keep], j[keep], near[keep]
+
+
+def chunk_members(bucket: int, chunk: int, ids: np.ndarray, classes: np.ndarray, sides: np.ndarray, sigs: np.ndarray) -> pd.DataFrame:
+    """The members of a chunk that have a candidate in it: at most one row for each."""
+    met = np.zeros(len(ids), bool)
+    for i, j, _ in _pairs(classes, sides, sigs):
+        met[i] = met[j] = True
+    return pd.DataFrame({"bucket": bucket, "chunk": chunk, "rep": ids[met], "class": classes[met], "side": sides[met]})
+
+
+def chunk_links(bucket: int, ids: np.ndarray, classes: np.ndarray, sides: np.ndarray, sigs: np.ndarray, bands: np.ndarray, sets: list) -> pd.DataFrame:
     """Exactly verified links that join the classes of a chunk: a forest, so at most one for each member.
 
     Every pair that may be similar is verified, unless its classes are joined already or an earlier band has the pair.
@@ -159,13 +196,7 @@ def chunk_links(bucket: int, ids: np.ndarray, classes: np.ndarray, sigs: np.ndar
         return c
 
     out = []
-    for k in range(0, len(ids), 64):
-        near = agreement(sigs[k : k + 64], sigs)
-        near[classes[k : k + 64, None] == classes[None, :]] = 0
-        i, j = np.nonzero(near >= MAYBE)
-        near, i = near[i, j], i + k
-        keep = i < j
-        near, i, j = near[keep], i[keep], j[keep]
+    for i, j, near in _pairs(classes, sides, sigs):
         first = (bands[i] == bands[j]).argmax(1)
         mine = np.nonzero(bands[i, first] == bucket)[0]
         for at in mine[np.argsort(-near[mine], kind="stable")].tolist():
@@ -177,7 +208,12 @@ def chunk_links(bucket: int, ids: np.ndarray, classes: np.ndarray, sigs: np.ndar
     return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
-def _in_chunks(verified: bool):
+#: What a round asks of its chunks, and the columns that a chunk's rows have for it.
+BEST, MEMBERS, LINKS = "best", "members", "links"
+NEEDS = {BEST: ["rep", "class", "sig"], MEMBERS: ["rep", "class", "sig", "side"], LINKS: ["rep", "class", "sig", "side", "bands", "elements", "weights"]}
+
+
+def _in_chunks(what: str):
     """Rows sorted by (bucket, chunk), of which one chunk alone is held in memory."""
 
     def done(key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
@@ -185,19 +221,21 @@ def _in_chunks(verified: bool):
             return None
         ids, classes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        if not verified:
+        if what == BEST:
             return chunk_best(ids, classes, sigs)
+        sides = np.array([r[3] for r in rows])
+        if what == MEMBERS:
+            return chunk_members(*key, ids, classes, sides, sigs)
         sets = []
         for r in rows:
-            e = np.frombuffer(r[4], np.uint64)
-            sets.append((e, np.frombuffer(r[5], np.float64) if r[5] else np.ones(len(e))))
-        return chunk_links(key[0], ids, classes, sigs, np.stack([r[3] for r in rows]), sets)
+            e = np.frombuffer(r[5], np.uint64)
+            sets.append((e, np.frombuffer(r[6], np.float64) if r[6] else np.ones(len(e))))
+        return chunk_links(key[0], ids, classes, sides, sigs, np.stack([r[4] for r in rows]), sets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["rep", "class", "sig", *["bands", "elements", "weights"] * verified]
         key, rows = None, []
         for pdf in batches:
-            for bucket, chunk, *row in zip(pdf["bucket"], pdf["chunk"], *[pdf[n] for n in names], strict=True):
+            for bucket, chunk, *row in zip(pdf["bucket"], pdf["chunk"], *[pdf[n] for n in NEEDS[what]], strict=True):
                 if (bucket, chunk) != key:
                     if (out := done(key, rows)) is not None and len(out):
                         yield out
@@ -225,20 +263,21 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def mixed_chunks(members: DataFrame, classes: DataFrame | None, turn: int, blocks: bool) -> DataFrame:
-    """(bucket, chunk, rep, class) of the buckets that have members of several classes.
+    """(bucket, chunk, rep, class, side) of the buckets that have members of several classes.
 
-    Those of more than CHUNK members are dealt over tasks by a hash, another one each turn; with blocks, each chunk
-    meets each other one.
+    Those of more than CHUNK members are dealt over tasks by a hash, another one each turn. With blocks, they are dealt
+    into blocks, and each pair of blocks is a chunk, as is each block by itself; side is a member's block.
     """
+    most = BLOCK if blocks else CHUNK
     rows = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left") if classes is not None else members.withColumn("label", F.lit(None).cast("bigint"))
     rows = rows.select("rep", "bucket", F.coalesce("label", "rep").alias("class"))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed = mixed.filter("low < high").select("bucket", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    dealt = rows.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("chunks")).cast("int"))
-    if blocks:
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        dealt = dealt.withColumn("other", other).withColumn("chunk", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other"))
-    return dealt.select("bucket", "chunk", "rep", "class")
+    mixed = mixed.filter("low < high").select("bucket", F.ceil(F.col("members") / most).cast("int").alias("chunks"))
+    dealt = rows.join(mixed, "bucket").withColumn("side", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("chunks")).cast("int"))
+    if not blocks:
+        return dealt.select("bucket", F.col("side").alias("chunk"), "rep", "class", "side")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select("bucket", (F.least("side", "other") * F.col("chunks") + F.greatest("side", "other")).alias("chunk"), "rep", "class", "side")
 
 
 def _by_chunk(df: DataFrame) -> DataFrame:
@@ -304,17 +343,19 @@ def link(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for turn in range(BEST_ROUNDS):
         some = members if turn else members.filter(F.col("band") < FIRST_BANDS)
         found = _by_chunk(mixed_chunks(some, label, turn, False).join(sigs, "rep").select("bucket", "chunk", "rep", "class", "sig"))
-        found = found.mapInPandas(_in_chunks(False), "a bigint, b bigint").distinct()
+        found = found.mapInPandas(_in_chunks(BEST), "a bigint, b bigint").distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti") if tried is not None else found, "near-candidates")
         tried = found if tried is None else tried.unionByName(found)
         new = materialize(verify(found, docs), "near-verified")
         links = new if links is None else links.unionByName(new)
         label = joined(new, label)
-    left = materialize(mixed_chunks(members, label, BEST_ROUNDS, True), "near-mixed")
+    # Candidates are sought by signatures alone; shingles come only for the members that have one.
+    left = _by_chunk(mixed_chunks(members, label, BEST_ROUNDS, True).join(sigs, "rep").select("bucket", "chunk", "rep", "class", "sig", "side"))
+    left = materialize(left.mapInPandas(_in_chunks(MEMBERS), "bucket bigint, chunk int, rep bigint, class bigint, side int"), "near-mixed")
     ids = sized(materialize(left.select(F.col("rep").alias("doc_id")).distinct(), "near-mixed-ids"))
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(_sets, "rep bigint, elements binary, weights binary")
-    met = left.join(reps, "rep").join(sets, "rep").select("bucket", "chunk", "rep", "class", "sig", "bands", "elements", "weights")
-    new = materialize(_by_chunk(met).mapInPandas(_in_chunks(True), "a bigint, b bigint, similarity double"), "near-verified")
+    met = left.join(reps, "rep").join(sets, "rep").select("bucket", "chunk", "rep", "class", "sig", "side", "bands", "elements", "weights")
+    new = materialize(_by_chunk(met).mapInPandas(_in_chunks(LINKS), "a bigint, b bigint, similarity double"), "near-verified")
     return links.unionByName(new).dropDuplicates(["a", "b"]), joined(new, label)
 
 
