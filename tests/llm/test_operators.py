@@ -7,8 +7,11 @@ import hashlib
 import lzma
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from itertools import product
 from urllib.parse import quote
 from zlib import crc32
 
@@ -16,7 +19,7 @@ import numpy as np
 import pytest
 
 from lattica.llm import chat, hmm, mixing, probminhash, quality, queries, secrets, simhash, toxicity, warc, winnowing
-from tests.compare import assert_same
+from tests.compare import assert_same, duck
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, size string, key int, run int, digest string, score string, found int, words int"
@@ -115,6 +118,45 @@ def test_training_learns_pairs_of_terms_that_differ_by_no_class(spark):
     assert np.mean([r["predicted"] == y[r["doc_id"]] for r in held]) > 0.99
 
 
+def test_quality_against_brute_force(spark):
+    """Scores of all documents by the densities written out, with covariances of the labelled rows by numpy."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    known = [(x[i], y) for i, y in labels.items() if i in x and crc32(str(i).encode()) % 5 != 0]
+    by = {c: np.stack([v for v, y in known if y == c]) for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in by.items()}
+    pooled = sum(len(by[c]) * cov[c] for c in by) / len(known)
+
+    def density(v, c):
+        m = (1 - quality.POOL) * cov[c] + quality.POOL * pooled
+        m = (1 - quality.DIAGONAL) * m + quality.DIAGONAL * np.diag(np.diag(m)) + 1e-4 * np.eye(len(m))
+        d = v - by[c].mean(0)
+        return math.log(len(by[c]) / len(known)) - 0.5 * np.linalg.slogdet(m)[1] - 0.5 * d @ np.linalg.inv(m) @ d
+
+    for r in quality.op4_quality(spark, MIDDLE).collect():
+        odds = np.clip(density(x[r["doc_id"]], 1) - density(x[r["doc_id"]], 0), -500, 500)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+        assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_toxicity_against_brute_force():
+    """The score of a text by the machine's formula, every pair of its terms written out."""
+    rng = np.random.default_rng(8)
+    index = np.full(toxicity.BUCKETS, -1, np.int32)
+    words = [f"w{k}" for k in range(12)]
+    at = [toxicity.term_buckets(w, {}).pop() for w in words]
+    index[at] = np.arange(12)
+    model = {"index": index, "b": -0.3, "w": rng.normal(size=12), "v": rng.normal(size=(12, 5))}
+    texts = ["", None, "unknown words", "w1", "w1 w2 W2, w7 w11 other", " ".join(words)]
+    want = []
+    for t in texts:
+        terms = sorted({index[b] for b in toxicity.term_buckets(t, {})} - {-1})
+        z = model["b"] + sum(model["w"][i] for i in terms) + sum(model["v"][i] @ model["v"][j] for i in terms for j in terms if i < j)
+        want.append(1 / (1 + math.exp(-z)))
+    assert toxicity.scores(texts, model, {}) == pytest.approx(want)
+
+
 def test_scores_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, 1), (6, 1, 0), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
     for labels_ in (labels, labels.limit(0)):
@@ -293,30 +335,85 @@ def test_every_copy_of_a_nested_layer_is_found():
     assert secrets.all_spans(text)[1] == [(0, 0, len(wrapped)), (len(wrapped) + 5, 0, len(text))]
 
 
-def test_unpacking_has_an_allowance():
-    big = b"password=Zx81kfQp02mmAA " + b"word " * 400_000
-    text = base64.b64encode(gzip.compress(big, mtime=0)).decode()
-    assert secrets.all_spans(text)[1] == [(0, 0, len(text))]
-    tight = secrets.Unpacker(1 << 20)
-    assert secrets.all_spans(text, tight)[1] == [] and tight.cut == 1
+def _big(secret=SECRET, words=400_000):
+    return base64.b64encode(gzip.compress(b"word " * words + secret + b" and " + b"word " * words, mtime=0)).decode()
 
 
-def test_copies_cost_nothing_and_refused_layers_are_redacted():
-    big = base64.b64encode(gzip.compress(b"password=Zx81kfQp02mmAA " + b"word " * 400_000, mtime=0)).decode()
+@pytest.mark.parametrize("wrap", [lambda t: t, lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), lambda t: base64.b64encode(bz2.compress(lzma.compress(base64.b64decode(t)))).decode()])
+def test_data_beyond_the_allowance_are_read_in_windows(monkeypatch, wrap):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    text = wrap(_big())
+    for room in (1 << 26, 1 << 20, 1 << 16):
+        tight = secrets.Unpacker(room)
+        assert secrets.all_spans(text, tight)[1] == [(0, 0, len(text))] and tight.cut == 0 and tight.refused == []
+
+
+def test_what_may_not_be_read_is_counted_and_redacted():
+    big = _big()
     text = " , ".join([big] * 9)
     room = secrets.Unpacker(5 << 20)
     assert len(secrets.all_spans(text, room)[1]) == 9 and room.cut == 0 and room.refused == []
-    tight = secrets.Unpacker(1 << 20)
+    tight = secrets.Unpacker(1 << 20, 1 << 20)
     found = secrets.all_spans(text, tight)[1]
     assert found == [] and secrets.redact(text, tight.refused) == " , ".join(["[SECRET]"] * 9)
     nested = base64.b64encode(big.encode()).decode()
-    tight = secrets.Unpacker(1 << 20)
+    tight = secrets.Unpacker(1 << 20, 1 << 20)
     assert secrets.all_spans(f"a {nested} b", tight)[1] == [] and tight.refused == [(2, secrets.REFUSED, 2 + len(nested))]
     tight = secrets.Unpacker(10)
     text = "clear\n\\u0070assword = hunter2hunter2\n; clear"
     assert secrets.all_spans(text, tight)[1] == [] and secrets.redact(text, tight.refused) == "clear\n[SECRET]\n; clear"
 
 
+def test_compressed_data_in_url_escapes():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        run = "".join(f"%{b:02X}" if not chr(b).isalnum() or b > 127 else chr(b) for b in pack(b"words " * 9 + SECRET))
+        text = f"see data={run} end"
+        assert (4, 0, 9 + len(run)) in secrets.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("text", ["\\u{70}assword=hunter2hunter2", "\\U00000070assword=hunter2hunter2", "\\u{000070}assword\\u{3d}hunter2hunter2"])
+def test_long_forms_of_unicode_escapes(text):
+    assert [(s, e) for s, _, e in secrets.all_spans(f"a {text} \\u{{110000}}")[1]] == [(2, 2 + len(text))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * 10**6 + " 5% off",
+        "abc-def-" * 130_000 + "%41",
+        "%" * 10**6,
+        "x%9C" * 250_000,
+        "QUJD" * 250_000 + "!",
+        "\\u0041" * 170_000,
+        "a\n" * 500_000,
+        "password" * 125_000,
+        "0123456789abcdef " * 60_000,
+    ],
+)
+def test_a_million_characters_take_no_long_time(text):
+    began = time.process_time()
+    secrets.all_spans(text)
+    assert time.process_time() - began < 6
+
+
+def test_base_columns_against_sql(spark):
+    """Counts of all documents, and the positions of all base findings by another implementation."""
+    got = {r["doc_id"]: r for r in secrets.op5_secrets(spark, MIDDLE).collect()}
+    sql = r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 8)) AS a,
+      len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16)) AS k, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda v: length(v) >= 32)) AS h FROM documents"""
+    want = duck(MIDDLE).sql(sql).fetchall()
+    assert len(want) == len(got) and sum(w[1] + w[2] + w[3] for w in want) > 0
+    assert all((got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (a, k, h) for i, a, k, h in want)
+    for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect():
+        found = []
+        for n, (pattern, group, least) in enumerate([(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32)]):
+            found += [(m.start(), n, m.end()) for m in re.finditer(pattern, r["text"], re.ASCII) if len(m[group]) >= least]
+        named = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert {*named.split(",")} - {""} <= {*got[r["doc_id"]]["spans"].split(",")}
+
+
 def test_secret_cycles_end_and_words_are_left_alone(spark):
     assert secrets.all_spans("%25" * 40 + " " + "QUJD" * 30)[1] == []
     out = secrets.scan(docs(spark, [*ODD, (8, "AKIAABCDEFGHIJKL0")])).select("doc_id", "found.*").collect()
@@ -328,7 +425,7 @@ def test_secret_cycles_end_and_words_are_left_alone(spark):
 # --- language model -----------------------------------------------------------------------------------------------
 
 
-def test_forward_and_counts_against_brute_force():
+def test_forward_and_counts_against_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
     s, v = 2, 3
     norm = lambda x, axis=-1: x / x.sum(axis, keepdims=True)
@@ -353,8 +450,33 @@ def test_forward_and_counts_against_brute_force():
                 if k:
                     moves[path[k - 1], state] += p / total
     assert hmm.log10_likelihood(seqs, model) == pytest.approx(want)
-    got = hmm.expected_counts(seqs, model)
-    assert got["emit"] == pytest.approx(emits, abs=1e-5) and got["move"] == pytest.approx(moves, abs=1e-5) and got["start"] == pytest.approx(starts, abs=1e-5)
+    for block in (2_000_000, 3, 1):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        got = hmm.expected_counts(seqs, model)
+        assert got["emit"] == pytest.approx(emits, abs=1e-5) and got["move"] == pytest.approx(moves, abs=1e-5) and got["start"] == pytest.approx(starts, abs=1e-5)
+        assert got["log"] == pytest.approx(sum(want), abs=1e-5)
+    every = [np.array(x) for x in product(range(v), repeat=4)]
+    assert (10 ** hmm.log10_likelihood(every, model)).sum() == pytest.approx(1)
+
+
+def test_scores_are_probabilities(spark, monkeypatch):
+    """With one unknown token to each class, all texts of two words and all that begin with the end sum to the start."""
+    monkeypatch.setattr(hmm, "CLASSES", 2)
+    monkeypatch.setattr(hmm, "OWN", 2)
+    known = ["a", "b", "c", "d"]
+    unknown = {hmm.class_of(w.encode()): w for w in map(str, range(20))}
+    words = [*known, *unknown.values()]
+    texts = [(k, f"{x} {y}") for k, (x, y) in enumerate(product(words, repeat=2))] + [(k + 100, w) for k, w in enumerate(words)] + [(200, "")]
+    train = [(300 + k, t) for k, t in enumerate(["a b a b c", "b a d", "a a a b", ""])]
+    df = spark.createDataFrame([(i, t, i < 300) for i, t in texts + train], "doc_id bigint, text string, held_out boolean")
+    got = {r["doc_id"]: 10 ** r["score"] for r in hmm.score(df).collect()}
+    two, one, none = (sum(got[i] for i, _ in texts if lo <= i < lo + 100) for lo in (0, 100, 200))
+    assert 0 < two and 0 < one and 0 < none and two + one + none < 1
+    # One more word of any kind or the end: a word w is as likely as all that may follow it.
+    first = {}
+    for k, (x, _) in enumerate(product(words, repeat=2)):
+        first[x] = first.get(x, 0.0) + got[k]
+    assert all(first[w] + got[100 + k] < 1 for k, w in enumerate(words))
 
 
 def _base(texts, held):
@@ -467,10 +589,11 @@ def test_signatures_estimate_it():
     assert (sig[2] == 0).all() and (sig[3] == e[0]).all()
 
 
-@pytest.mark.parametrize("chunk", [2048, 8])
+@pytest.mark.parametrize("chunk", [512, 8])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, chunk):
     """Groups of copies without a centre, copies of copies, and passages that many share; also with tiny chunks."""
     monkeypatch.setattr(probminhash, "CHUNK", chunk)
+    monkeypatch.setattr(probminhash, "BLOCK", chunk)
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(5000)}"
     shared = [word() for _ in range(40)]
@@ -530,19 +653,39 @@ def test_fingerprints_against_brute_force(spark):
     assert all(r["fingerprint"] == want[r["text"]] for r in got)
 
 
-def test_edited_texts(spark):
-    rows = [(5, "abcdefgh"), (1, "xy"), (9, None), (30, "12345678")]
+@pytest.mark.parametrize("run", [1000, 1])
+def test_edited_texts(spark, monkeypatch, run):
+    rows = [(5, "abcdefgh"), (1, "xy"), (9, None), (30, "12345678"), (2**61, "far"), (None, "none"), (5, "abc")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for run in (1000, 1):
-        simhash.RUN, before = run, simhash.RUN
-        got = {r["doc_id"]: r["next_text"] for r in simhash.with_next(d).collect()}
-        simhash.RUN = before
-        assert got == {1: "abcdefgh", 5: "", 9: "12345678", 30: "xy"}
+    monkeypatch.setattr(simhash, "RUN", run)
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in simhash.with_next(d).collect()}
+    assert got == {(None, "none"): "xy", (1, "xy"): "abc", (5, "abc"): "abcdefgh", (5, "abcdefgh"): "", (9, ""): "12345678", (30, "12345678"): "far", (2**61, "far"): "none"}
     assert simhash.with_next(d.limit(0)).collect() == []
     odd = simhash.with_next(docs(spark, ODD))
     assert odd.count() == len(ODD)
 
 
+@pytest.mark.parametrize("level", [2, 4])
+def test_runs_do_not_follow_the_range_of_ids(spark, monkeypatch, level):
+    """One id far off all others: the rows still fall into runs of a few, and every row is followed by the next."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "RUN", 10)
+    monkeypatch.setattr(simhash, "LEVEL", level)
+    ids = [*range(-30, 250, 2), 2**61]
+    d = spark.createDataFrame([(i, f"text {i}") for i in ids[::-1]], "doc_id bigint, text string")
+    runs = Counter(r[0] for r in d.select(simhash._run_of(F.col("doc_id"), simhash._bounds(d))).collect())
+    assert len(runs) >= min(level**3, 14) - 1 and max(runs.values()) <= 3 * len(ids) / len(runs)
+    got = {r["doc_id"]: r["next_text"] for r in simhash.with_next(d).collect()}
+    assert got == {i: f"text {j}" for i, j in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
+def test_fingerprint_columns_may_clash(spark):
+    d = spark.createDataFrame([("a b c", 1, 2, 3, "x")], "text string, _words int, _v0 int, _n int, f string")
+    out = simhash.add_fingerprints(d, {"text": "f"})
+    assert sorted(out.columns) == sorted(d.columns) and out.first()["_n"] == 3
+
+
 def test_fingerprint_query(spark):
     source = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in simhash.op10_fingerprint(spark, SMALL).collect()}
@@ -550,6 +693,11 @@ def test_fingerprint_query(spark):
         after, q = source[(k + 1) % len(source)][1], len(t) // 4
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
+        near = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
+        assert got[i]["near_edited"] == near(got[i]["fingerprint"], got[i]["edited_fingerprint"])
+        assert got[i]["near_next"] == near(got[i]["fingerprint"], got[source[(k + 1) % len(source)][0]]["fingerprint"])
+        within = sum((int(got[i]["fingerprint"], 16) ^ int(r["fingerprint"], 16)).bit_count() <= simhash.RADIUS for r in got.values()) - 1
+        assert got[i]["n_near"] == (within if i % 20 == 0 else None)
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables, and on odd rows."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -20,7 +22,7 @@ def test_stages_take_effect(spark):
         elif name == "near_duplicates":
             want = {r["class_id"] for r in probminhash.near_duplicates(before).collect()}
         elif name == "decontamination":
-            want = {r["doc_id"] for r in winnowing.decontaminate(before, bench).filter("not contaminated").collect()}
+            want = {r["doc_id"] for r in winnowing.decontaminate(before, bench).filter("n_hit = 0").collect()}
         elif name == "secrets":
             want = ids
             assert all(secrets.all_spans(r["text"])[1] == [] or "[SECRET]" in r["text"] for r in now.collect())
@@ -35,6 +37,24 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()} == kept
 
 
+def _windows(text, n=13):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def test_no_window_of_an_item_is_left(spark):
+    """By brute force over the kept texts, with a passage in a document of thousands of words among them."""
+    items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = " ".join(f"word{k}" for k in range(9000))
+    docs = docs.unionByName(spark.createDataFrame([(10**6, f"{long} {' '.join(items[0].split()[:13])} {long}", "en", "a", 1), (10**6 + 1, f"{long} {' '.join(items[0].split()[:12])} {long}", "en", "a", 1)], docs.schema))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs, "/root/testdata/sf0.01").collect()}
+    leaked = set().union(*map(_windows, items))
+    dirty = {r["doc_id"] for r in docs.collect() if _windows(r["text"]) & leaked}
+    assert 10**6 in dirty and kept.keys() == {r["doc_id"] for r in docs.collect()} - dirty
+    assert not any(_windows(t) & leaked for t in kept.values())
+
+
 def test_stages_survive_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "some text", "en", "a", 9), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "word " * 30_000, "en", "a", 150_000)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, row string")
